@@ -75,28 +75,36 @@ def running_total(
     totals: dict[str, Column],
     chunk: int = CHUNK_ROWS,
     levels: int = 1,
+    placed: str | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in ``pos`` order, for keys of any size.
 
     ``pos`` is an integer position (gaps are fine).  Chunks of ``chunk`` positions
     are summed locally; chunk totals are scanned the same way one level up.
+    ``placed`` names a column that already holds the chunk number (see
+    ``with_previous``), so that its partitioning is used again.
     """
     keys, names = list(keys), list(totals)
     base = df.select("*", *[v.alias(f"_v_{n}") for n, v in totals.items()]).withColumn(
-        "_chunk", F.floor(F.col(pos) / chunk)
+        "_chunk", F.col(placed) if placed else F.floor(F.col(pos) / chunk)
     )
     upto = W.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     local = base.select("*", *[F.sum(f"_v_{n}").over(upto).alias(f"_s_{n}") for n in names])
     sums = base.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
     offsets = _offsets(sums, keys, names, chunk, levels)
     return local.join(offsets, [*keys, "_chunk"]).select(
-        *[c for c in df.columns if c not in names],
+        *[c for c in df.columns if c not in (*names, placed)],
         *[(F.col(f"_s_{n}") + F.col(f"_off_{n}")).alias(n) for n in names],
     )
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str], chunk: int = CHUNK_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    cols: dict[str, str],
+    chunk: int = CHUNK_ROWS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Values of the preceding row as new columns, for keys of any size.
 
@@ -115,11 +123,8 @@ def with_previous(
         *df.columns, F.col("_copy.c").alias("_chunk"), F.col("_copy.halo").alias("_halo")
     )
     w = W.partitionBy(*keys, "_chunk").orderBy(pos)
-    return (
-        spread.select("*", *[F.lag(c).over(w).alias(out) for c, out in cols.items()])
-        .where(~F.col("_halo"))
-        .drop("_chunk", "_halo")
-    )
+    seen = spread.select("*", *[F.lag(c).over(w).alias(out) for c, out in cols.items()]).where(~F.col("_halo"))
+    return seen.drop("_halo") if keep_chunk else seen.drop("_chunk", "_halo")
 
 
 def hot_key_salts(df: DataFrame, keys: Sequence[str], rows_per_group: int) -> DataFrame:

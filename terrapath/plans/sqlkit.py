@@ -100,7 +100,7 @@ def cte(name: str, sql: str, *deps: str) -> None:
 cte(
     "dem_raw",
     """SELECT row, col, CASE WHEN (row*64+col)%997=0 THEN -9999.0::double ELSE
-      2000.0::double+18.0::double*abs(row%100-50)+6.0::double*col+20.0::double*v END AS elevation
+      2000.0::double+45.0::double*abs(row%100-50)+15.0::double*col+20.0::double*v END AS elevation
       FROM (SELECT vec_id AS row, i-1 AS col, embedding[i]::double AS v
             FROM (SELECT vec_id, embedding, unnest(range(1,len(embedding)+1)) AS i FROM embeddings))""",
 )
@@ -121,8 +121,8 @@ cte(
     "tracks",
     f"""SELECT {RESORT.format(p="p")} AS resort_id, p AS path_id, s AS seq,
       10.02::double+0.0003::double*(p%11)+0.00002::double*(s%3) AS lon,
-      46.95::double-0.00025::double*s-0.0002::double*(p%5) AS lat,
-      2600.0::double+20.0::double*(p%5)-(1+p%13)::double*s+least(value,100.0::double)/50.0::double AS elevation
+      46.95::double-0.00035::double*s-0.0002::double*(p%5) AS lat,
+      2600.0::double+20.0::double*(p%5)-1.5::double*(1+p%13)*s+4.0::double*abs(s%12-6)+least(value,100.0::double)/50.0::double AS elevation
       FROM (SELECT event_id//64 AS p, event_id%64 AS s, value FROM events)""",
 )
 cte(

@@ -36,8 +36,8 @@ def dem_raw(spark: SparkSession, sf: str) -> DataFrame:
     cells = D.explode_rows(table(spark, sf, "embeddings"), "vec_id", "embedding")
     height = (
         2000.0
-        + 18.0 * F.abs(F.col("row") % 100 - 50).cast("double")
-        + 6.0 * F.col("col").cast("double")
+        + 45.0 * F.abs(F.col("row") % 100 - 50).cast("double")
+        + 15.0 * F.col("col").cast("double")
         + 20.0 * F.col("raw").cast("double")
     )
     hole = (F.col("row") * 64 + F.col("col")) % 997 == 0
@@ -85,11 +85,12 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
         p.alias("path_id"),
         s.alias("seq"),
         (10.02 + 0.0003 * (p % 11).cast("double") + 0.00002 * (s % 3).cast("double")).alias("lon"),
-        (46.95 - 0.00025 * s.cast("double") - 0.0002 * (p % 5).cast("double")).alias("lat"),
+        (46.95 - 0.00035 * s.cast("double") - 0.0002 * (p % 5).cast("double")).alias("lat"),
         (
             2600.0
             + 20.0 * (p % 5).cast("double")
-            - (1 + p % 13).cast("double") * s.cast("double")
+            - 1.5 * (1 + p % 13).cast("double") * s.cast("double")
+            + 4.0 * F.abs(s % 12 - 6).cast("double")
             + F.least(F.col("value"), F.lit(100.0)) / 50.0
         ).alias("elevation"),
     )
