@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from terrapath.plans import scalar, terrain_plans  # noqa: F401
+from terrapath.plans import fan_plans, scalar, terrain_plans  # noqa: F401
 from terrapath.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "win2_steepest_section"
+FLAGSHIP = "gen4_fan"

@@ -108,7 +108,7 @@ cte("dem", "SELECT row, col, CASE WHEN elevation<>-9999.0 THEN elevation END AS
 cte(
     "req",
     """SELECT c_custkey AS request_id, 10.002::double+0.00003::double*((7*c_custkey)%1700) AS lon,
-      46.99::double-0.00011::double*((13*c_custkey)%2200) AS lat, 100.0::double+50.0::double*(c_custkey%19) AS length_m
+      46.99::double-0.00011::double*((13*c_custkey)%2200) AS lat, 105.0::double+50.0::double*(c_custkey%19) AS length_m
       FROM customer""",
 )
 cte(

@@ -156,7 +156,7 @@ def ter2(spark, sf):
     "ter2_gradient_all_cells",
     S.with_(
         "dem",
-        src="SELECT row*64+col AS id, 10.0::double+(col+0.5::double)*0.0008::double AS lon, 47.0::double-(row+0.5::double)*0.00054::double AS lat FROM dem",
+        src="SELECT row*64+col AS id, 10.0::double+(col+0.15::double)*0.0008::double AS lon, 47.0::double-(row+0.2::double)*0.00054::double AS lat FROM dem",
         **gradient_ctes("src"),
     )
     + f"SELECT {S.cls('slope_pct')} AS difficulty, count(*) AS n_cells, round(avg(slope_pct),4) AS mean_slope FROM grad GROUP BY 1",
@@ -166,8 +166,8 @@ def ter2_all(spark, sf):
     cells, m = X.dem_cells(spark, sf), X.dem_meta(spark, sf)
     centres = cells.select(
         (c("row") * m.n_cols + c("col")).alias("id"),
-        (m.x0 + (c("col") + 0.5) * m.dx).alias("lon"),
-        (m.y0 - (c("row") + 0.5) * m.dy).alias("lat"),
+        (m.x0 + (c("col") + 0.15) * m.dx).alias("lon"),
+        (m.y0 - (c("row") + 0.2) * m.dy).alias("lat"),
     )
     g = D.gradient(centres, cells, m, "id")
     return g.groupBy(terrain.classify(c("slope_pct")).alias("difficulty")).agg(

@@ -54,7 +54,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("request_id"),
         (10.002 + 0.00003 * ((7 * k) % 1700).cast("double")).alias("lon"),
         (46.99 - 0.00011 * ((13 * k) % 2200).cast("double")).alias("lat"),
-        (100.0 + 50.0 * (k % 19).cast("double")).alias("length_m"),
+        (105.0 + 50.0 * (k % 19).cast("double")).alias("length_m"),
     )
 
 
