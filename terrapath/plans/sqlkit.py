@@ -173,7 +173,7 @@ cte(
 cte(
     "slope",
     f"""SELECT {RESORT.format(p="p")} AS resort_id, p AS path_id, 'SL'||(p+1) AS slope_id, 'Slope '||(p+1) AS name,
-      list_transform(range(0,ns+1), lambda i: 'S'||(p*8+i+1)) || CASE WHEN p%7=0 THEN ['S9'||p] ELSE []::varchar[] END AS segment_ids,
+      list_transform(range(0,ns+1), lambda i: 'S'||(p*8+i+1)) || CASE WHEN p%7=0 THEN ['S99000000000'||p] ELSE []::varchar[] END AS segment_ids,
       'N'||(p*8+1) AS start_node_id, 'N'||(p*8+ns+2) AS end_node_id FROM (
       SELECT event_id//64 AS p, (max(event_id%64)-1)//10 AS ns FROM events GROUP BY 1 HAVING max(event_id%64)>=1 AND (event_id//64)%4<>0)""",
 )
@@ -216,8 +216,8 @@ cte(
 )
 cte(
     "tap",
-    """SELECT c_custkey AS tap_id, 10.0099::double+0.0003::double*(c_custkey%12)+0.00001::double*(c_custkey%37) AS lon,
-      46.8995::double+0.0002::double*(c_custkey%17)+0.00001::double*(c_custkey%29) AS lat FROM customer""",
+    """SELECT c_custkey AS tap_id, 10.0099053::double+0.0003::double*(c_custkey%12)+0.00001::double*(c_custkey%37) AS lon,
+      46.8995037::double+0.0002::double*(c_custkey%17)+0.00001::double*(c_custkey%29) AS lat FROM customer""",
 )
 cte(
     "edits",

@@ -136,7 +136,7 @@ def slopes(spark: SparkSession, sf: str) -> DataFrame:
     last = head.groupBy("path_id").agg(F.max("seq").alias("last_seq")).where((p % 4 != 0) & (F.col("last_seq") >= 1))
     n_seg = F.floor((F.col("last_seq") - 1) / SEG_STEPS)
     ids = F.transform(F.sequence(F.lit(0), n_seg.cast("int")), lambda i: F.concat(F.lit("S"), p * 8 + i + 1))
-    dangling = F.array(F.concat(F.lit("S9"), p))
+    dangling = F.array(F.concat(F.lit("S99000000000"), p))
     return last.select(
         resort_of(p).alias("resort_id"),
         p.alias("path_id"),
@@ -223,8 +223,8 @@ def taps(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
         k.alias("tap_id"),
-        (10.0099 + 0.0003 * (k % 12).cast("double") + 0.00001 * (k % 37).cast("double")).alias("lon"),
-        (46.8995 + 0.0002 * (k % 17).cast("double") + 0.00001 * (k % 29).cast("double")).alias("lat"),
+        (10.0099053 + 0.0003 * (k % 12).cast("double") + 0.00001 * (k % 37).cast("double")).alias("lon"),
+        (46.8995037 + 0.0002 * (k % 17).cast("double") + 0.00001 * (k % 29).cast("double")).alias("lat"),
     )
 
 
