@@ -259,12 +259,21 @@ def path_metrics(points: Column) -> list[Column]:
 def with_path_metrics(df, points: str = "points"):
     """Add length, drop, average, steepest section and difficulty, each computed once."""
     p = F.col(points)
+
+    def measure(cum: Column) -> Column:
+        length = F.element_at(cum, -1)
+        return let(
+            avg_slope_pct(drop_m(p), length),
+            lambda avg: F.struct(
+                length.alias("length_m"),
+                drop_m(p).alias("drop_m"),
+                avg.alias("avg_slope_pct"),
+                steepest_section_pct(p, cum, avg).alias("max_slope_pct"),
+            ),
+        )
+
     return (
-        df.withColumn("_cum", cumulative(step_lengths(p)))
-        .withColumn("length_m", F.element_at("_cum", -1))
-        .withColumn("drop_m", drop_m(p))
-        .withColumn("avg_slope_pct", avg_slope_pct(F.col("drop_m"), F.col("length_m")))
-        .withColumn("max_slope_pct", steepest_section_pct(p, F.col("_cum"), F.col("avg_slope_pct")))
+        df.withColumn("_m", let(cumulative(step_lengths(p)), measure))
+        .select(*df.columns, "_m.*")
         .withColumn("difficulty", classify(F.col("max_slope_pct")))
-        .drop("_cum")
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from terrapath.plans import fan_plans, graph_plans, scalar, terrain_plans  # noqa: F401
+from terrapath.plans import fan_plans, graph_plans, lift_plans, scalar, terrain_plans  # noqa: F401
 from terrapath.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "gen4_fan"

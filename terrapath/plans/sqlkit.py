@@ -192,7 +192,7 @@ cte(
 cte(
     "lift",
     f"""SELECT e.* , coalesce(a.elevation,2000.0) AS start_elevation, coalesce(b.elevation,2000.0) AS end_elevation FROM (
-      SELECT *, start_lon+0.0004::double*(lift_no%7-3) AS end_lon, start_lat+0.0001::double+0.0012::double*(lift_no%13) AS end_lat FROM (
+      SELECT *, start_lon+0.0004::double*(lift_no%7-3) AS end_lon, start_lat+0.000103717::double+0.00120313::double*(lift_no%13) AS end_lat FROM (
       SELECT {RESORT.format(p="c_custkey")} AS resort_id, c_custkey AS lift_no, 'L'||(c_custkey+1) AS lift_id,
         (['surface_lift','chairlift','gondola','aerial_tram'])[c_custkey%4+1] AS lift_type,
         'N'||(100000000+2*c_custkey) AS start_node_id, 'N'||(100000000+2*c_custkey+1) AS end_node_id,

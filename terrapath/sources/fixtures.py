@@ -176,7 +176,7 @@ def lift_ends(spark: SparkSession, sf: str) -> DataFrame:
         (46.99 - 0.00011 * ((13 * k) % 2200).cast("double")).alias("start_lat"),
     )
     ends = ends.withColumn("end_lon", F.col("start_lon") + 0.0004 * (F.col("lift_no") % 7 - 3).cast("double")).withColumn(
-        "end_lat", F.col("start_lat") + 0.0001 + 0.0012 * (F.col("lift_no") % 13).cast("double")
+        "end_lat", F.col("start_lat") + 0.000103717 + 0.00120313 * (F.col("lift_no") % 13).cast("double")
     )
     cells, meta = dem_cells(spark, sf), dem_meta(spark, sf)
     for end in ("start", "end"):
