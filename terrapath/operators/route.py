@@ -1,12 +1,267 @@
-"""Connection routing."""
+"""Connection routing: search grids, least-cost paths, smoothing, de-duplication, fallback."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapath import config as C
+from terrapath.functions import gridpath
+from terrapath.functions.geo import bearing_deg, destination, haversine_m
+from terrapath.functions.paths import avg_slope_pct, drop_m, grade_name, length_m, similar_paths
+from terrapath.functions.rules import plan_ready
+from terrapath.functions.terrain import classify
+from terrapath.functions.tracing import Patch
+from terrapath.operators import profile as P
+from terrapath.operators.fan import tile_strips
+from terrapath.operators.resample import resample, smooth
+from terrapath.operators.scan import hot_key_salts
 from terrapath.operators.snapping import nearest_node
+from terrapath.sources import dem as D
+
+GROUP_REQUESTS = 256
+
+
+def with_elevations(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
+    """Start and target elevation and the direct distance."""
+    r = D.lookup_elevation(requests, cells, meta, out="elevation")
+    r = D.lookup_elevation(r, cells, meta, "target_lon", "target_lat", "target_elevation")
+    return r.withColumn("direct_m", haversine_m(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon")))
+
+
+def grid_cells() -> Column:
+    return F.least((F.col("direct_m") * (1 + 2 * C.GRID_BUFFER) / C.GRID_STEP_M).cast("int") + 1, F.lit(C.GRID_MAX_CELLS))
+
+
+def grid_nodes(requests: DataFrame, cells: DataFrame, meta: D.DemMeta, key: str = "request_id") -> DataFrame:
+    """Search grid of every request, one row per node (at most 100 x 100), with elevation."""
+    mid_lon, mid_lat = (F.col("lon") + F.col("target_lon")) / 2, (F.col("lat") + F.col("target_lat")) / 2
+    extent = F.col("direct_m") * (1 + 2 * C.GRID_BUFFER)
+    turn = lambda d: F.pmod(F.col("_b") + d, F.lit(360.0))
+    g = (
+        requests.withColumn("_b", bearing_deg(mid_lon, mid_lat, F.col("target_lon"), F.col("target_lat")))
+        .withColumn("_o1", destination(mid_lon, mid_lat, turn(180.0), extent / 2))
+        .withColumn("_o", destination(F.col("_o1.lon"), F.col("_o1.lat"), turn(-90.0), extent / 2))
+        .select(key, "_b", "_o", grid_cells().alias("n"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("col"))
+        .withColumn("_c", destination(F.col("_o.lon"), F.col("_o.lat"), turn(90.0), F.col("col") * C.GRID_STEP_M))
+        .select(key, "n", "col", "_c", "_b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("row"))
+        .withColumn("_p", destination(F.col("_c.lon"), F.col("_c.lat"), F.col("_b"), F.col("row") * C.GRID_STEP_M))
+        .select(key, "n", "row", "col", "_p.lon", "_p.lat")
+    )
+    return D.lookup_elevation(g, cells, meta)
+
+
+def grid_edges(nodes: DataFrame, key: str = "request_id") -> DataFrame:
+    """Directed edges between the 8 neighbours: equi-join of shifted positions inside a request."""
+    moves = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in gridpath.MOVES])
+    src = nodes.select(key, "row", "col", "lon", "lat", "elevation", F.inline(moves))
+    dst = nodes.select(key, F.col("row").alias("to_row"), F.col("col").alias("to_col"), *[F.col(n).alias(f"to_{n}") for n in ("lon", "lat", "elevation")])
+    pairs = src.withColumn("to_row", F.col("row") + F.col("dr")).withColumn("to_col", F.col("col") + F.col("dc"))
+    d = haversine_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
+    e = pairs.join(dst, [key, "to_row", "to_col"]).withColumn("horiz_m", d)
+    return e.withColumn("slope_pct", F.when(F.col("horiz_m") > 0, (F.col("elevation") - F.col("to_elevation")) / F.col("horiz_m") * 100.0)).select(
+        key, "row", "col", "to_row", "to_col", "horiz_m", "slope_pct"
+    )
+
+
+def edge_cost(horiz: Column, slope: Column, target) -> Column:
+    base = horiz * F.exp(F.abs(slope - target) / C.COST_SIGMA)
+    climb = F.when(slope < 0, F.exp(F.abs(slope) / C.COST_SIGMA)).otherwise(F.lit(1.0))
+    return F.when(horiz < C.MIN_EDGE_M, F.lit(float("inf"))).otherwise(base * climb)
+
+
+def nearest_grid_nodes(nodes: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """Grid node closest to start and target; row-major first on a tie."""
+    r = requests.select(key, F.col("lon").alias("_slon"), F.col("lat").alias("_slat"), "target_lon", "target_lat")
+    j = nodes.join(r, key)
+    order = lambda lo, la: F.struct(haversine_m(F.col("lat"), F.col("lon"), F.col(la), F.col(lo)), "row", "col")
+    return j.groupBy(key).agg(
+        F.min_by(F.struct("row", "col"), order("_slon", "_slat")).alias("start"),
+        F.min_by(F.struct("row", "col"), order("target_lon", "target_lat")).alias("target"),
+    )
+
+
+FOUND = "target_slope_pct double, cost double, rows array<int>, cols array<int>, lons array<double>, lats array<double>, elevations array<double>"
+
+
+def least_cost_paths(
+    requests: DataFrame, cells: DataFrame, meta: D.DemMeta, key: str = "request_id", group_rows: int = GROUP_REQUESTS
+) -> DataFrame:
+    """Cheapest grid path per request and grade.
+
+    ``requests``: key, lon, lat, target_lon, target_lat, direct_m; direct distances are
+    bounded by the target rule (1000 m), so a grid has at most 10 000 nodes.  Requests
+    meet the raster patch of their start tile in a cogroup (busy tiles are split) and
+    every grid is relaxed in place for all grades.  A grid with a missing elevation
+    yields no path.
+    """
+    row, col = D.cell_index(meta, F.col("lon"), F.col("lat"))
+    work = (
+        requests.where(F.col("direct_m") <= C.LENGTH_MAX_M)
+        .select(key, "lon", "lat", "target_lon", "target_lat", "direct_m")
+        .withColumn("tile_r", F.floor(row / C.TILE))
+        .withColumn("tile_c", F.floor(col / C.TILE))
+        .where(F.col("tile_r").isNotNull() & F.col("tile_c").isNotNull())
+    )
+    tile = ["tile_r", "tile_c"]
+    salts = hot_key_salts(work, tile, group_rows)
+    work = work.join(salts, tile).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")).drop("_salts")
+    # a grid reaches at most 1.6 direct distances from its start
+    strips = (
+        tile_strips(cells, meta, 1.6 * C.LENGTH_MAX_M)
+        .join(salts, tile)
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+        .drop("_salts")
+    )
+    grades = [t for *_, t in C.GRADE_TARGETS]
+    key_type = dict(requests.dtypes)[key]
+    names = [key, *[p.split()[0] for p in FOUND.split(", ")]]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not left.empty and not right.empty:
+            patch = Patch(meta, right["row"].to_numpy(), right["strip"].tolist())
+            for q in left.itertuples(index=False):
+                lons, lats = gridpath.search_grid(q.lon, q.lat, q.target_lon, q.target_lat, q.direct_m)
+                z = patch.elevation(lons, lats)
+                if np.isnan(z).any():
+                    continue
+                start = gridpath.nearest(lons, lats, q.lon, q.lat)
+                goal = gridpath.nearest(lons, lats, q.target_lon, q.target_lat)
+                for grade, hit in zip(grades, gridpath.least_cost(lons, lats, z, start, goal, grades), strict=True):
+                    if hit is not None:
+                        cost, rr, cc = hit
+                        out.append((getattr(q, key), grade, cost, rr, cc, lons[rr, cc], lats[rr, cc], z[rr, cc]))
+        return pd.DataFrame(out, columns=names)
+
+    group = [*tile, "_salt"]
+    return work.groupBy(*group).cogroup(strips.groupBy(*group)).applyInPandas(run, f"{key} {key_type}, {FOUND}")
+
+
+def path_points() -> Column:
+    return F.transform(
+        F.arrays_zip("lons", "lats", "elevations"),
+        lambda p: F.struct(p["lons"].alias("lon"), p["lats"].alias("lat"), p["elevations"].alias("elevation")),
+    )
+
+
+def smoothing_m(target: Column) -> Column:
+    """Kernel half width: gentle targets get longer curves."""
+    factor = F.when(target < 15.0, C.SMOOTHING["green"]).when(target < 25.0, C.SMOOTHING["blue"]).otherwise(C.SMOOTHING["red"])
+    return factor * C.GRID_STEP_M
+
+
+def smooth_paths(paths: DataFrame, cells: DataFrame, meta: D.DemMeta, key: str = "path_id") -> DataFrame:
+    """Smooth, resample every 7 m and read the elevations again.
+
+    ``paths``: key, target_slope_pct, points.  Paths with fewer than 4 points or shorter
+    than 14 m are returned as they are.
+    """
+    short = (F.size("points") < 4) | (length_m(F.col("points")) < 2 * C.RESAMPLE_M)
+    flagged = paths.select(key, "points", "target_slope_pct", short.alias("_short"))
+    rows = flagged.where(~F.col("_short")).select(
+        key, smoothing_m(F.col("target_slope_pct")).alias("_bw"), F.posexplode("points").alias("seq", "p")
+    ).select(key, "_bw", "seq", "p.*")
+    curved = smooth(P.with_distance(rows, key), key, "_bw")
+    again = P.with_distance(curved.drop("cum_m", "step_m", "step_drop_m"), key)
+    spots = D.lookup_elevation(resample(again, key).withColumnRenamed("elevation", "_approx"), cells, meta)
+    spots = spots.withColumn("elevation", F.coalesce("elevation", "_approx"))
+    # a path holds at most a few hundred samples (grid of 100 x 100 cells)
+    new = spots.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "lon", "lat", "elevation"))).alias("_s")).select(
+        key, F.transform("_s", lambda s: F.struct(s["lon"], s["lat"], s["elevation"])).alias("_new")
+    )
+    return paths.join(new, key, "left").withColumn("points", F.coalesce("_new", "points")).drop("_new")
+
+
+def drop_similar(proposals: DataFrame, request: str = "request_id") -> DataFrame:
+    """Greedy de-duplication per request: gentlest first, keep what is unlike all kept ones.
+
+    A request has at most 16 proposals, so they are folded inside one array.
+    """
+    item = F.struct("avg_slope_pct", "ord", "points")
+    packed = proposals.groupBy(request).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    none = F.array().cast("array<struct<avg_slope_pct:double,ord:int,points:array<struct<lon:double,lat:double,elevation:double>>>>")
+    kept = F.aggregate(
+        "_all",
+        none,
+        lambda acc, x: F.when(F.exists(acc, lambda k: similar_paths(x["points"], k["points"])), acc).otherwise(
+            F.concat(acc, F.array(x))
+        ),
+    )
+    ords = packed.select(request, F.explode_outer(F.transform(kept, lambda k: k["ord"])).alias("ord"))
+    return proposals.join(ords, [request, "ord"], "left_semi")
+
+
+def similar_pairs(proposals: DataFrame, request: str = "request_id") -> DataFrame:
+    """Similar proposal pairs of a request (at most 16 proposals, compared inside one row)."""
+    packed = proposals.groupBy(request).agg(F.sort_array(F.collect_list(F.struct("ord", "points"))).alias("_all"))
+    pairs = F.flatten(
+        F.transform(
+            "_all",
+            lambda a: F.transform(
+                F.filter("_all", lambda b: (b["ord"] > a["ord"]) & similar_paths(a["points"], b["points"])),
+                lambda b: F.struct(a["ord"].alias("a"), b["ord"].alias("b")),
+            ),
+        )
+    )
+    return packed.select(request, F.explode_outer(pairs).alias("_p")).where(F.col("_p").isNotNull()).select(request, "_p.a", "_p.b")
+
+
+def straight_line(requests: DataFrame) -> DataFrame:
+    """Two-point fallback connection."""
+    slope = (F.col("elevation") - F.col("target_elevation")) / F.col("direct_m") * 100.0
+    points = F.array(
+        F.struct("lon", "lat", "elevation"),
+        F.struct(F.col("target_lon").alias("lon"), F.col("target_lat").alias("lat"), F.col("target_elevation").alias("elevation")),
+    )
+    return requests.where(F.col("direct_m") > 0).select(
+        "request_id",
+        F.lit(0).alias("ord"),
+        F.lit(0.0).alias("target_slope_pct"),
+        classify(slope).alias("target_difficulty"),
+        F.lit("📍 Direct Line (fallback)").alias("sector_name"),
+        points.alias("points"),
+        slope.alias("avg_slope_pct"),
+    )
+
+
+def plan(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
+    """Smoothed least-cost connections of every plannable request and grade."""
+    ready = with_elevations(requests, cells, meta)
+    ready = ready.where(plan_ready(F.col("elevation"), F.col("target_elevation"), F.col("direct_m")))
+    raw = least_cost_paths(ready, cells, meta).select("request_id", "target_slope_pct", "cost", path_points().alias("points"))
+    grade = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(d).alias("d"), F.lit(g).alias("g")) for o, d, g, t in C.GRADE_TARGETS])
+    raw = raw.withColumn("_g", F.element_at(F.filter(grade, lambda x: x["t"] == F.col("target_slope_pct")), 1)).withColumn(
+        "ord", F.col("_g.o")
+    )
+    raw = raw.withColumn("path_id", F.col("request_id") * 16 + F.col("ord"))
+    smoothed = smooth_paths(raw, cells, meta)
+    drop = drop_m(F.col("points"))
+    return smoothed.withColumn("avg_slope_pct", avg_slope_pct(drop, length_m(F.col("points")))).select(
+        "request_id",
+        "ord",
+        "target_slope_pct",
+        F.col("_g.d").alias("target_difficulty"),
+        F.concat(F.lit("🎯 "), grade_name(F.col("_g.d"), F.lit("left"), F.col("_g.g"))).alias("sector_name"),
+        "points",
+        "avg_slope_pct",
+        "cost",
+    )
+
+
+def manual_paths(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
+    """Distinct connections per request, gentlest first, or the straight line when there is none.
+
+    Both sides of a grade give the same path and the left label wins, so every grade is
+    planned once.
+    """
+    known = with_elevations(requests, cells, meta).where(F.col("target_elevation").isNotNull() & F.col("elevation").isNotNull())
+    unique = drop_similar(plan(requests, cells, meta)).drop("cost")
+    rest = straight_line(known.join(unique, "request_id", "left_anti"))
+    return unique.withColumn("is_connector", F.lit(True)).unionByName(rest.withColumn("is_connector", F.lit(True)))
 
 
 def tag_connectors(paths: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -19,3 +274,5 @@ def tag_connectors(paths: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         .withColumnRenamed("node_id", "target_node_id")
         .drop("distance_m")
     )
+
+

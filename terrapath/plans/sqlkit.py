@@ -114,7 +114,7 @@ cte(
 cte(
     "tgt",
     """SELECT request_id, lon, lat, lon+0.0004::double*(request_id%5-2) AS target_lon,
-      lat-0.0005::double*(1+request_id%12) AS target_lat FROM req""",
+      lat-0.00031::double*(1+request_id%8+CASE WHEN request_id%50=0 THEN 26 ELSE 0 END) AS target_lat FROM req""",
     "req",
 )
 cte(

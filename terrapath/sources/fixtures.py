@@ -66,7 +66,7 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
         "lon",
         "lat",
         (F.col("lon") + 0.0004 * (r % 5 - 2).cast("double")).alias("target_lon"),
-        (F.col("lat") - 0.0005 * (1 + r % 12).cast("double")).alias("target_lat"),
+        (F.col("lat") - 0.00031 * (1 + r % 8 + F.when(r % 50 == 0, 26).otherwise(0)).cast("double")).alias("target_lat"),
     )
 
 
