@@ -200,4 +200,4 @@ CLICK_RULES = [
 TILE = 64  # raster cells per tile side
 CHUNK_ROWS = 4096  # rows of one ordered group handled by one window partition
 FOLD_ROWS = 256  # rows of one ordered group folded inside one array
-GROUP_ROWS = 2048  # rows of one tile traced together in one task
+GROUP_ROWS = 512  # rows of one tile traced together in one task

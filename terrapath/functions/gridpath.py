@@ -60,17 +60,19 @@ def least_cost(lons, lats, z, start, target, grades):
         moves.append((a, b, edge_cost(d[None], (z[a] - z[b])[None], t)))
     best = np.full((len(grades), n, n), np.inf)
     best[:, start[0], start[1]] = 0.0
-    while True:
-        before = best.copy()
-        for a, b, cost in moves:
-            view = best[(slice(None), *b)]
-            np.minimum(view, best[(slice(None), *a)] + cost, out=view)
-        if np.array_equal(before, best):
-            break
-    into = np.full((len(MOVES), len(grades), n, n), np.inf)
-    for k, (a, b, cost) in enumerate(moves):
-        into[(k, slice(None), *b)] = best[(slice(None), *a)] + cost
-    back = into.argmin(axis=0)
+    back = np.full(best.shape, -1, dtype=np.int8)
+    changed = True
+    while changed:
+        changed = False
+        for k, (a, b, cost) in enumerate(moves):
+            here, move = best[(slice(None), *b)], back[(slice(None), *b)]
+            offer = best[(slice(None), *a)] + cost
+            # only a strict gain moves the predecessor: tiny edges behind a huge one stay free of cycles
+            gain = offer < here
+            if gain.any():
+                changed = True
+                np.copyto(here, offer, where=gain)
+                move[gain] = k
     out = []
     for g in range(len(grades)):
         if not np.isfinite(best[g, target[0], target[1]]):

@@ -14,7 +14,7 @@ from terrapath import config as C
 from terrapath.functions.paths import avg_slope_pct, grade_name
 from terrapath.functions.terrain import classify
 from terrapath.functions.tracing import Patch, trace
-from terrapath.operators.scan import hot_key_salts
+from terrapath.operators.scan import hot_key_salts, spread_groups
 from terrapath.sources import dem as D
 
 TRACED = "lons array<double>, lats array<double>, elevations array<double>, length_m double"
@@ -109,7 +109,7 @@ def trace_downhill(
         return done[size >= C.MIN_PATH_POINTS]
 
     traced = (
-        work.groupBy(*group).cogroup(strips.groupBy(*group)).applyInPandas(run, f"{key} {key_type}, {TRACED}")
+        spread_groups(work, group).groupBy(*group).cogroup(strips.groupBy(*group)).applyInPandas(run, f"{key} {key_type}, {TRACED}")
     )
     points = F.transform(
         F.arrays_zip("lons", "lats", "elevations"),

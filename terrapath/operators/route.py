@@ -17,11 +17,11 @@ from terrapath.functions.tracing import Patch
 from terrapath.operators import profile as P
 from terrapath.operators.fan import tile_strips
 from terrapath.operators.resample import resample, smooth
-from terrapath.operators.scan import hot_key_salts
+from terrapath.operators.scan import cut_lineage, hot_key_salts, spread_groups
 from terrapath.operators.snapping import nearest_node
 from terrapath.sources import dem as D
 
-GROUP_REQUESTS = 256
+GROUP_REQUESTS = 32
 
 
 def with_elevations(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
@@ -138,7 +138,7 @@ def least_cost_paths(
         return pd.DataFrame(out, columns=names)
 
     group = [*tile, "_salt"]
-    return work.groupBy(*group).cogroup(strips.groupBy(*group)).applyInPandas(run, f"{key} {key_type}, {FOUND}")
+    return spread_groups(work, group).groupBy(*group).cogroup(strips.groupBy(*group)).applyInPandas(run, f"{key} {key_type}, {FOUND}")
 
 
 def path_points() -> Column:
@@ -181,7 +181,8 @@ def drop_similar(proposals: DataFrame, request: str = "request_id") -> DataFrame
 
     A request has at most 16 proposals, so they are folded inside one array.
     """
-    item = F.struct("avg_slope_pct", "ord", "points")
+    # slopes that agree to 6 decimals are ties: generation order decides
+    item = F.struct(F.round("avg_slope_pct", 6).alias("avg_slope_pct"), "ord", "points")
     packed = proposals.groupBy(request).agg(F.sort_array(F.collect_list(item)).alias("_all"))
     none = F.array().cast("array<struct<avg_slope_pct:double,ord:int,points:array<struct<lon:double,lat:double,elevation:double>>>>")
     kept = F.aggregate(
@@ -232,7 +233,10 @@ def plan(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
     """Smoothed least-cost connections of every plannable request and grade."""
     ready = with_elevations(requests, cells, meta)
     ready = ready.where(plan_ready(F.col("elevation"), F.col("target_elevation"), F.col("direct_m")))
-    raw = least_cost_paths(ready, cells, meta).select("request_id", "target_slope_pct", "cost", path_points().alias("points"))
+    # solved once: smoothing reads the paths in several branches
+    raw = cut_lineage(
+        least_cost_paths(ready, cells, meta).select("request_id", "target_slope_pct", "cost", path_points().alias("points"))
+    )
     grade = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(d).alias("d"), F.lit(g).alias("g")) for o, d, g, t in C.GRADE_TARGETS])
     raw = raw.withColumn("_g", F.element_at(F.filter(grade, lambda x: x["t"] == F.col("target_slope_pct")), 1)).withColumn(
         "ord", F.col("_g.o")

@@ -130,3 +130,12 @@ def with_previous(
 def hot_key_salts(df: DataFrame, keys: Sequence[str], rows_per_group: int) -> DataFrame:
     """Number of salts each key needs so that no group exceeds ``rows_per_group`` on average."""
     return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("_salts"))
+
+
+def spread_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash groups over all shuffle partitions.
+
+    Groups that are small in bytes but heavy in work must not be packed into a few
+    tasks, which size-based partition coalescing would do.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

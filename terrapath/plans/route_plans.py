@@ -157,7 +157,7 @@ def gen12(spark, sf):
 _DEDUP = (
     _SIMQ.rstrip()
     + """,
-  rk AS (SELECT request_id, ord, row_number() OVER (PARTITION BY request_id ORDER BY avg_slope_pct, ord) AS r FROM fan),
+  rk AS (SELECT request_id, ord, row_number() OVER (PARTITION BY request_id ORDER BY round(avg_slope_pct,6), ord) AS r FROM fan),
   nb AS (SELECT k.request_id, k.ord, k.r, coalesce(list(s.o) FILTER (WHERE s.o IS NOT NULL), []::bigint[]) AS l FROM rk k LEFT JOIN (SELECT request_id, a AS x, b AS o FROM sim UNION ALL SELECT request_id, b, a FROM sim) s ON s.request_id=k.request_id AND s.x=k.ord GROUP BY ALL),
   gd AS (SELECT request_id, 1::bigint AS r, [ord]::bigint[] AS kept FROM nb WHERE r=1 UNION ALL SELECT g.request_id, n.r, CASE WHEN list_has_any(g.kept, n.l) THEN g.kept ELSE g.kept || [n.ord] END FROM gd g JOIN nb n ON n.request_id=g.request_id AND n.r=g.r+1)
 """
@@ -171,12 +171,12 @@ def gen13(spark, sf):
 
 @query(
     "srt1_order_by_slope",
-    FAN + "SELECT request_id, ord, row_number() OVER (PARTITION BY request_id ORDER BY avg_slope_pct, ord) AS place FROM fan",
+    FAN + "SELECT request_id, ord, row_number() OVER (PARTITION BY request_id ORDER BY round(avg_slope_pct,6), ord) AS place FROM fan",
 )
 def srt1(spark, sf):
     from pyspark.sql import Window as W
 
-    place = F.row_number().over(W.partitionBy("request_id").orderBy("avg_slope_pct", "ord"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.round("avg_slope_pct", 6), "ord"))
     return fan(spark, sf).select("request_id", "ord", place.cast("long").alias("place"))
 
 
@@ -229,7 +229,7 @@ _RGBN = {"green": "34,197,94", "blue": "59,130,246", "red": "239,68,68", "black"
     "snk6_proposal_features",
     FAN.rstrip()
     + f""",
-  one AS (SELECT f.*, p.lon, p.lat, p.z, p.step, {S.case_map(_RGBN,'f.difficulty')} AS rgb FROM fan f JOIN tr p ON p.id=f.tid)
+  one AS (SELECT f.request_id, f.ord, f.n, p.lon, p.lat, p.z, p.step, {S.case_map(_RGBN,'f.difficulty')} AS rgb FROM fan f JOIN tr p ON p.id=f.tid)
   SELECT request_id, ord, 'start_marker' AS kind, round(lon,7) AS lon, round(lat,7) AS lat, round(z,4) AS elevation, '[255,255,255,200]' AS color FROM one WHERE step=0
   UNION ALL SELECT request_id, ord, 'proposal_body', round(lon,7), round(lat,7), round(z,4), '['||rgb||CASE WHEN ord=0 THEN ',255]' ELSE ',150]' END FROM one WHERE step=n//2
   UNION ALL SELECT request_id, ord, 'proposal_endpoint', round(lon,7), round(lat,7), round(z,4), '[249,115,22,230]' FROM one WHERE step=n-1""",
