@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrapath.functions.geo import coord_key
+from terrapath.functions.geo import coord_key, let
 
 ID_FIELD = {"node": "node_id", "slope": "slope_id", "segment": "segment_id", "lift": "lift_id"}
 PROPOSALS = ["proposal_endpoint", "proposal_body"]
@@ -26,40 +26,47 @@ def merged(obj: Column, props: Column, name: str) -> Column:
     return F.when(obj["type"] == "Feature", F.coalesce(props[name], obj[name])).otherwise(obj[name])
 
 
+FIELDS = ["id", "lon", "lat", "lift_id", "pylon_index", "proposal_index"]
+
+
 def parse(coord: Column, obj: Column, props: Column) -> Column:
     """Parsed click struct, NULL when the click carries nothing usable."""
     kind = F.when(obj["type"] == "Feature", props["type"]).otherwise(obj["type"])
-    get = lambda n: merged(obj, props, n)
-    ident = F.when(get("id") != "", get("id"))
-    lon = F.when(obj.isNull(), coord[0]).otherwise(get("lon").cast("double"))
-    lat = F.when(obj.isNull(), coord[1]).otherwise(get("lat").cast("double"))
-    terrain = (obj.isNull() & coord.isNotNull()) | (kind == "terrain")
+    picked = F.struct(
+        kind.alias("kind"),
+        obj.isNull().alias("bare"),
+        *[F.when(merged(obj, props, n) != "", merged(obj, props, n)).alias(n) for n in FIELDS],
+    )
+    return let(picked, lambda f: _parsed(f, coord))
+
+
+def _parsed(f: Column, coord: Column) -> Column:
+    kind = f["kind"]
     is_ = lambda k: F.coalesce(kind == k, F.lit(False))
+    lon = F.when(f["bare"], coord[0]).otherwise(f["lon"].cast("double"))
+    lat = F.when(f["bare"], coord[1]).otherwise(f["lat"].cast("double"))
+    terrain = (f["bare"] & coord.isNotNull()) | is_("terrain")
     pylon, proposal = is_("pylon"), F.coalesce(kind.isin(PROPOSALS), F.lit(False))
-    lift = F.when(pylon, F.when(get("lift_id") != "", get("lift_id"))).when(is_("lift"), ident)
-    pylon_idx = F.when(pylon, get("pylon_index").cast("int"))
-    prop_idx = F.when(proposal, get("proposal_index").cast("int"))
     ok = (
         F.when(terrain, lon.isNotNull() & lat.isNotNull())
-        .when(kind.isin(list(ID_FIELD)), ident.isNotNull())
-        .when(pylon, lift.isNotNull() & pylon_idx.isNotNull())
-        .when(proposal, prop_idx.isNotNull())
+        .when(kind.isin(list(ID_FIELD)), f["id"].isNotNull())
+        .when(pylon, f["lift_id"].isNotNull() & f["pylon_index"].isNotNull())
+        .when(proposal, f["proposal_index"].isNotNull())
         .otherwise(F.lit(False))
     )
-    t = F.coalesce(terrain, F.lit(False))
     return F.when(
         ok,
         F.struct(
-            F.when(t, "terrain").otherwise("marker").alias("click_type"),
-            F.when(~t, kind).alias("marker_type"),
-            F.when(t, lat).alias("lat"),
-            F.when(t, lon).alias("lon"),
-            F.when(is_("node"), ident).alias("node_id"),
-            F.when(is_("slope"), ident).alias("slope_id"),
-            F.when(is_("segment"), ident).alias("segment_id"),
-            lift.alias("lift_id"),
-            pylon_idx.alias("pylon_index"),
-            prop_idx.alias("proposal_index"),
+            F.when(terrain, "terrain").otherwise("marker").alias("click_type"),
+            F.when(~terrain, kind).alias("marker_type"),
+            F.when(terrain, lat).alias("lat"),
+            F.when(terrain, lon).alias("lon"),
+            F.when(is_("node"), f["id"]).alias("node_id"),
+            F.when(is_("slope"), f["id"]).alias("slope_id"),
+            F.when(is_("segment"), f["id"]).alias("segment_id"),
+            F.when(pylon, f["lift_id"]).when(is_("lift"), f["id"]).alias("lift_id"),
+            F.when(pylon, f["pylon_index"].cast("int")).alias("pylon_index"),
+            F.when(proposal, f["proposal_index"].cast("int")).alias("proposal_index"),
         ),
     )
 

@@ -131,7 +131,7 @@ def join9(spark, sf):
     """Nodes left alone when only finished segments are kept and all lifts are gone."""
     seg, slopes, lifts, nodes = graph(spark, sf)
     finished = seg.join(G.slope_members(slopes), ["resort_id", "segment_id"], "left_semi")
-    return G.connected_nodes(nodes, G.edges(finished, lifts.limit(0)), keep=False).select("node_id")
+    return G.connected_nodes(nodes, G.edges(finished, lifts.where(F.lit(False))), keep=False).select("node_id")
 
 
 @query(
