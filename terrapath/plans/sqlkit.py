@@ -239,5 +239,7 @@ def with_(*names: str, recursive: bool = False, **extra: str) -> str:
 
     for n in names:
         add(n)
-    parts = [f"{n} AS ({CTE[n]})" for n in seen] + [f"{n} AS ({s})" for n, s in extra.items()]
+    # shared inputs are computed once
+    keep = lambda n: "AS MATERIALIZED" if n in ("dem", "gz", "ge", "gs", "seg", "lift") else "AS"
+    parts = [f"{n} {keep(n)} ({CTE[n]})" for n in seen] + [f"{n} {keep(n)} ({s})" for n, s in extra.items()]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"

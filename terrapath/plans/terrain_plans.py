@@ -164,7 +164,7 @@ def ter2(spark, sf):
 def ter2_all(spark, sf):
     """Slope class of every raster cell: the whole-raster scale test."""
     cells, m = X.dem_cells(spark, sf), X.dem_meta(spark, sf)
-    centres = cells.select(
+    centres = X.dem_cells(spark, sf, wide=True).select(
         (c("row") * m.n_cols + c("col")).alias("id"),
         (m.x0 + (c("col") + 0.15) * m.dx).alias("lon"),
         (m.y0 - (c("row") + 0.2) * m.dy).alias("lat"),

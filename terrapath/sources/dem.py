@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -98,13 +99,13 @@ def lookup_elevation(
 
 def ring_samples(meta: DemMeta, lon: Column, lat: Column) -> Column:
     """Centre plus 8 bearings on 2 rings: cell, x/y slope factor and weight per sample."""
-    samples = [
-        F.struct(F.lit(0.0).alias("b"), F.lit(0.0).alias("r"), F.lit(0.0).alias("w"))
-    ] + [
-        F.struct(F.lit(b).alias("b"), F.lit(r).alias("r"), F.lit(w).alias("w"))
-        for r, w in C.RINGS
-        for b in C.RING_BEARINGS
-    ]
+    ring = [(0.0, 0.0, 0.0, 0.0, 0.0)]
+    for r, w in C.RINGS:
+        for b in C.RING_BEARINGS:
+            k = w * 100.0 / r
+            ring.append((b, r, w, k * math.sin(math.radians(b)), k * math.cos(math.radians(b))))
+    names = ("b", "r", "w", "kx", "ky")
+    samples = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s, strict=True)]) for s in ring])
 
     def place(s: Column) -> Column:
         here = F.struct(lon.alias("lon"), lat.alias("lat"))
@@ -113,18 +114,13 @@ def ring_samples(meta: DemMeta, lon: Column, lat: Column) -> Column:
         def cell(p: Column) -> Column:
             row, col = cell_index(meta, p["lon"], p["lat"])
             ok = (s["r"] == 0) | in_bounds(meta, p["lon"], p["lat"])
-            k = s["w"] * 100.0 / F.nullif(s["r"], F.lit(0.0))
             return F.struct(
-                F.when(ok, row).alias("row"),
-                F.when(ok, col).alias("col"),
-                (k * F.sin(F.radians(s["b"]))).alias("kx"),
-                (k * F.cos(F.radians(s["b"]))).alias("ky"),
-                s["w"].alias("w"),
+                F.when(ok, row).alias("row"), F.when(ok, col).alias("col"), s["kx"].alias("kx"), s["ky"].alias("ky"), s["w"].alias("w")
             )
 
         return let(spot, cell)
 
-    return F.filter(F.transform(F.array(*samples), place), lambda s: s["row"].isNotNull() & s["col"].isNotNull())
+    return F.filter(F.transform(samples, place), lambda s: s["row"].isNotNull() & s["col"].isNotNull())
 
 
 def gradient(

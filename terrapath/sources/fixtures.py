@@ -16,8 +16,11 @@ TRACK_POINTS = 64
 SEG_STEPS = 10
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, wide: bool = False) -> DataFrame:
+    """A driver table; ``wide`` spreads a scan with fewer partitions than cores (tiny files, heavy rows)."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() < cores else df
 
 
 _META: dict[str, D.DemMeta] = {}
@@ -31,9 +34,9 @@ def dem_meta(spark: SparkSession, sf: str) -> D.DemMeta:
     return _META[sf]
 
 
-def dem_raw(spark: SparkSession, sf: str) -> DataFrame:
+def dem_raw(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     """Cells with the nodata marker still in place."""
-    cells = D.explode_rows(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    cells = D.explode_rows(table(spark, sf, "embeddings", wide), "vec_id", "embedding")
     height = (
         2000.0
         + 45.0 * F.abs(F.col("row") % 100 - 50).cast("double")
@@ -44,8 +47,8 @@ def dem_raw(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("row", "col", F.when(hole, F.lit(-9999.0)).otherwise(height).alias("elevation"))
 
 
-def dem_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return D.clean_nodata(dem_raw(spark, sf), -9999.0)
+def dem_cells(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    return D.clean_nodata(dem_raw(spark, sf, wide), -9999.0)
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
