@@ -141,7 +141,7 @@ DEBOUNCE_MS = 150
 KEY_DECIMALS = 6
 DOCUMENT_VERSION = "2.0"
 GPX_NAMESPACE = "http://www.topografix.com/GPX/1/1"
-GPX_CREATOR = "Ski Resort Planner"
+GPX_CREATOR = "terrapath"
 ALPS_BOX = (4.5, 42.75, 17.0, 48.5)  # west, south, east, north
 
 # Workflow transitions: state, event, guard on committed segments, next state.

@@ -29,8 +29,8 @@ def halo_cells(meta: D.DemMeta, max_length_m: float) -> tuple[int, int]:
     return math.ceil(reach / (meta.dy * metre)) + 1, math.ceil(reach / (meta.dx * metre * shrink)) + 1
 
 
-def tile_strips(cells: DataFrame, meta: D.DemMeta, max_length_m: float, tile: int = C.TILE) -> DataFrame:
-    """Raster patches: tile plus halo, one row per raster row with a bounded array of cells."""
+def tile_strips(cells: DataFrame, meta: D.DemMeta, max_length_m: float, active: DataFrame, tile: int = C.TILE) -> DataFrame:
+    """Raster patches (tile plus halo) of the ``active`` tiles, one row per raster row with a bounded array of cells."""
     hr, hc = halo_cells(meta, max_length_m)
 
     def covering(axis: str, halo: int) -> Column:
@@ -41,6 +41,7 @@ def tile_strips(cells: DataFrame, meta: D.DemMeta, max_length_m: float, tile: in
     return (
         cells.select("row", "col", F.col("elevation").alias("z"), covering("row", hr).alias("tile_r"))
         .select("*", covering("col", hc).alias("tile_c"))
+        .join(active.select("tile_r", "tile_c"), ["tile_r", "tile_c"], "left_semi")
         .groupBy("tile_r", "tile_c", "row")
         .agg(F.sort_array(F.collect_list(F.struct("col", "z"))).alias("strip"))
     )
@@ -87,7 +88,7 @@ def trace_downhill(
         .drop("_salts")
     )
     strips = (
-        tile_strips(cells, meta, max_length_m)
+        tile_strips(cells, meta, max_length_m, salts)
         .join(salts, ["tile_r", "tile_c"])
         .select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
         .drop("_salts")

@@ -2,63 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapath import config as C
 from terrapath.operators.scan import with_previous
 
+BEFORE = {"lon": "_lon0", "lat": "_lat0", "elevation": "_z0", "cum_m": "_x0"}
 
-def resample(measured: DataFrame, key: str, pos: str = "seq", step: float = C.RESAMPLE_M) -> DataFrame:
-    """Points every ``step`` metres, linear between neighbours; the last may pass the end by half a step.
 
-    Every leg (a point and its predecessor) emits the multiples of ``step`` that fall on
-    it, so the work is a projection over legs: no search and no per-path grouping
-    beyond the predecessor lookup.
+def spots_on_legs(legs: DataFrame, key: str, is_last: Column, step: float = C.RESAMPLE_M) -> DataFrame:
+    """Points every ``step`` metres on legs (a point plus its predecessor, columns of ``BEFORE``).
+
+    Every leg emits the multiples of ``step`` that fall on it, so the work is a plain
+    projection: no search and no grouping.
     """
-    cols = {"lon": "_lon0", "lat": "_lat0", "elevation": "_z0", "cum_m": "_x0"}
-    legs = with_previous(measured, [key], pos, cols)
-    ends = measured.groupBy(key).agg(F.max(pos).alias("_last"))
-    legs = legs.join(ends, key)
     x0, x1 = F.col("_x0"), F.col("cum_m")
     first = F.when(x0.isNull(), F.lit(0)).otherwise(F.floor(x0 / step) + 1)
     # a multiple of the spacing on a vertex belongs to the leg that ends there
     last = F.when(x0.isNull(), F.lit(0)).otherwise(F.floor(x1 / step))
     tail = F.ceil((x1 + step / 2) / step) - 1
-    last = F.when(F.col(pos) == F.col("_last"), F.greatest(last, tail)).otherwise(last)
+    last = F.when(is_last, F.greatest(last, tail)).otherwise(last)
     spots = legs.where(last >= first).select("*", F.explode(F.sequence(first, last)).alias("i"))
-    share = F.when(
-        x0.isNotNull() & (x1 > x0), F.least(F.lit(1.0), (F.col("i") * step - x0) / (x1 - x0))
-    ).otherwise(F.lit(1.0))
-
-    def mix(a: str, b: str):
-        return F.coalesce(F.col(a) + (F.col(b) - F.col(a)) * share, F.col(b))
-
-    return spots.select(
-        key, "i", mix("_lon0", "lon").alias("lon"), mix("_lat0", "lat").alias("lat"), mix("_z0", "elevation").alias("elevation")
-    )
+    share = F.when(x0.isNotNull() & (x1 > x0), F.least(F.lit(1.0), (F.col("i") * step - x0) / (x1 - x0))).otherwise(F.lit(1.0))
+    mix = lambda b: F.coalesce(F.col(BEFORE[b]) + (F.col(b) - F.col(BEFORE[b])) * share, F.col(b)).alias(b)
+    return spots.select(key, "i", mix("lon"), mix("lat"), mix("elevation"))
 
 
-def smooth(measured: DataFrame, key: str, bandwidth: str, pos: str = "seq") -> DataFrame:
-    """Kernel-smoothed positions over arc length.
-
-    Replaces the smoothing spline: every point becomes the mean of the points of its
-    path within ``bandwidth`` metres (a column), end points stay where they are.  The
-    path is cut into stretches of one bandwidth with one stretch of overlap on both sides.
-    """
-    home = F.floor(F.col("cum_m") / F.col(bandwidth))
-    stretch = F.explode(F.array(home - 1, home, home + 1)).alias("_stretch")
-    spread = measured.select("*", home.alias("_home"), stretch)
-    near = W.partitionBy(key, "_stretch").orderBy((F.col("cum_m") / F.col(bandwidth))).rangeBetween(-1, 1)
-    ends = measured.groupBy(key).agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
-    mean = spread.select(
-        "*", *[F.avg(n).over(near).alias(f"_m_{n}") for n in ("lon", "lat", "elevation")]
-    ).where(F.col("_home") == F.col("_stretch"))
-    fixed = (
-        (F.col(pos) == F.col("_first")) | (F.col(pos) == F.col("_last"))
-    )
-    out = mean.join(ends, key)
-    for n in ("lon", "lat", "elevation"):
-        out = out.withColumn(n, F.when(fixed, F.col(n)).otherwise(F.col(f"_m_{n}")))
-    return out.select(*measured.columns)
+def resample(measured: DataFrame, key: str, pos: str = "seq", step: float = C.RESAMPLE_M) -> DataFrame:
+    """Points every ``step`` metres of paths of any length; the last may pass the end by half a step."""
+    legs = with_previous(measured, [key], pos, BEFORE)
+    ends = measured.groupBy(key).agg(F.max(pos).alias("_last"))
+    return spots_on_legs(legs.join(ends, key), key, F.col(pos) == F.col("_last"), step)

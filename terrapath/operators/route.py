@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapath import config as C
@@ -14,9 +15,8 @@ from terrapath.functions.paths import avg_slope_pct, drop_m, grade_name, length_
 from terrapath.functions.rules import plan_ready
 from terrapath.functions.terrain import classify
 from terrapath.functions.tracing import Patch
-from terrapath.operators import profile as P
 from terrapath.operators.fan import tile_strips
-from terrapath.operators.resample import resample, smooth
+from terrapath.operators.resample import BEFORE, spots_on_legs
 from terrapath.operators.scan import cut_lineage, hot_key_salts, spread_groups
 from terrapath.operators.snapping import nearest_node
 from terrapath.sources import dem as D
@@ -111,7 +111,7 @@ def least_cost_paths(
     work = work.join(salts, tile).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")).drop("_salts")
     # a grid reaches at most 1.6 direct distances from its start
     strips = (
-        tile_strips(cells, meta, 1.6 * C.LENGTH_MAX_M)
+        tile_strips(cells, meta, 1.6 * C.LENGTH_MAX_M, salts)
         .join(salts, tile)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
         .drop("_salts")
@@ -157,19 +157,33 @@ def smoothing_m(target: Column) -> Column:
 def smooth_paths(paths: DataFrame, cells: DataFrame, meta: D.DemMeta, key: str = "path_id") -> DataFrame:
     """Smooth, resample every 7 m and read the elevations again.
 
-    ``paths``: key, target_slope_pct, points.  Paths with fewer than 4 points or shorter
-    than 14 m are returned as they are.
+    ``paths``: key, target_slope_pct, points.  Replaces the smoothing spline: a point
+    becomes the mean of the points of its path within the kernel width, end points stay.
+    Grid paths are bounded (100 x 100 cells), so all windows share one shuffle by path.
+    Paths with fewer than 4 points or shorter than 14 m are returned as they are.
     """
     short = (F.size("points") < 4) | (length_m(F.col("points")) < 2 * C.RESAMPLE_M)
-    flagged = paths.select(key, "points", "target_slope_pct", short.alias("_short"))
-    rows = flagged.where(~F.col("_short")).select(
-        key, smoothing_m(F.col("target_slope_pct")).alias("_bw"), F.posexplode("points").alias("seq", "p")
-    ).select(key, "_bw", "seq", "p.*")
-    curved = smooth(P.with_distance(rows, key), key, "_bw")
-    again = P.with_distance(curved.drop("cum_m", "step_m", "step_drop_m"), key)
-    spots = D.lookup_elevation(resample(again, key).withColumnRenamed("elevation", "_approx"), cells, meta)
+    rows = paths.where(~short).select(
+        key, smoothing_m(F.col("target_slope_pct")).alias("_bw"), F.size("points").alias("_n"), F.posexplode("points").alias("seq", "p")
+    ).select(key, "_bw", "_n", "seq", "p.*")
+    along = W.partitionBy(key).orderBy("seq")
+    upto = along.rowsBetween(W.unboundedPreceding, 0)
+
+    def measured(df: DataFrame) -> DataFrame:
+        step = haversine_m(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon"))
+        return df.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("cum_m", F.sum("_d").over(upto)).drop("_d")
+
+    near = W.partitionBy(key).orderBy("_u").rangeBetween(-1, 1)
+    end = (F.col("seq") == 0) | (F.col("seq") == F.col("_n") - 1)
+    curved = measured(rows).withColumn("_u", F.col("cum_m") / F.col("_bw"))
+    curved = curved.select(
+        key, "_n", "seq", *[F.when(end, F.col(n)).otherwise(F.avg(n).over(near)).alias(n) for n in ("lon", "lat", "elevation")]
+    )
+    legs = measured(curved)
+    legs = legs.select("*", *[F.lag(n).over(along).alias(out) for n, out in BEFORE.items()])
+    spots = spots_on_legs(legs, key, F.col("seq") == F.col("_n") - 1)
+    spots = D.lookup_elevation(spots.withColumnRenamed("elevation", "_approx"), cells, meta)
     spots = spots.withColumn("elevation", F.coalesce("elevation", "_approx"))
-    # a path holds at most a few hundred samples (grid of 100 x 100 cells)
     new = spots.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "lon", "lat", "elevation"))).alias("_s")).select(
         key, F.transform("_s", lambda s: F.struct(s["lon"], s["lat"], s["elevation"])).alias("_new")
     )

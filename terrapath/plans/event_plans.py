@@ -172,9 +172,10 @@ def join15(spark, sf):
     r = spark.createDataFrame(C.CLICK_RULES, "state string, target string, action string, reason string")
     state = F.element_at(F.array(*map(F.lit, ("SlopeBuilding", "LiftPlacing", "IdleReady"))), c("k") % 3 + 1)
     p = parsed(spark, sf).where(c("click").isNotNull()).select("event_id", state.alias("state"), F.coalesce("click.marker_type", F.lit("terrain")).alias("target"))
+    text = F.format_string("Cannot %s — %s", "action", "reason")
     return p.join(F.broadcast(r), ["state", "target"], "left").select(
-        "event_id", "state", F.format_string("Cannot %s — %s", "action", "reason").alias("message")
-    ).withColumn("message", F.when(~c("message").contains("null"), c("message")))
+        "event_id", "state", F.when(c("action").isNotNull(), text).alias("message")
+    )
 
 
 EVENTS = sorted({e for _, e, _, _ in C.TRANSITIONS})

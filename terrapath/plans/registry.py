@@ -33,9 +33,3 @@ def r7(c: Column | str) -> Column:
     """Degrees, compared to about 1 cm."""
     return F.round(F.col(c) if isinstance(c, str) else c, 7)
 
-
-def pts(points: Column) -> Column:
-    """Points as rounded text, so that nested geometry can be compared."""
-    return F.array_join(
-        F.transform(points, lambda p: F.format_string("%.6f %.6f %.3f", p["lon"], p["lat"], p["elevation"])), ","
-    )

@@ -146,34 +146,36 @@ def src5(spark, sf):
 # ---------------------------------------------------------------- GPX
 
 
-def gpx_tracks(spark, sf):
+def gpx_parts(spark, sf):
+    """Track headers and their point pieces."""
     facts, slopes = G.segment_facts(X.segments(spark, sf)), X.slopes(spark, sf)
-    stats = G.slope_stats(slopes, facts)
-    # points of one slope; a track is one fragment, as in the exchange format
-    line = G.joined_points(G.slope_members(slopes), facts, "slope_id").groupBy("slope_id").agg(
-        F.sort_array(F.collect_list(F.struct("i", "lon", "lat", "elevation"))).alias("points")
-    )
-    s = stats.join(line, "slope_id").join(slopes.select("slope_id", "name", "path_id"), "slope_id")
-    slope_rows = s.select(
+    number = slopes.select("slope_id", "name", (c("path_id") + 1).alias("item"))
+    stats = G.slope_stats(slopes, facts).join(number, "slope_id")
+    slope_tracks = stats.select(
         "resort_id",
         F.lit("slope").alias("kind"),
-        (c("path_id") + 1).alias("item"),
-        c("name").alias("name"),
+        "item",
+        "name",
         J.slope_desc(c("difficulty"), c("drop_m"), c("length_m")).alias("desc"),
         F.concat(F.lit("slope_"), "difficulty").alias("type"),
-        F.transform("points", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), p["elevation"].alias("elevation"))).alias("points"),
+    )
+    parts = G.slope_members(slopes).join(facts.select("segment_id", "points"), "segment_id").join(number.drop("name"), "slope_id")
+    first = parts.groupBy("slope_id").agg(F.min("pos").alias("_first"))
+    rest = F.slice("points", 2, F.size("points"))
+    slope_pieces = parts.join(first, "slope_id").select(
+        "resort_id", F.lit("slope").alias("kind"), "item", c("pos").alias("piece"), F.when(c("pos") == c("_first"), c("points")).otherwise(rest).alias("points")
     )
     lifts = full_lifts(spark, sf)
-    lift_rows = lifts.select(
+    lift_tracks = lifts.select(
         "resort_id",
         F.lit("lift").alias("kind"),
         (c("lift_no") + 1).alias("item"),
         F.concat("lift_id", F.lit(" - "), "lift_type").alias("name"),
         J.lift_desc(c("end_elevation") - c("start_elevation"), c("length_m")).alias("desc"),
         F.concat(F.lit("lift_"), "lift_type").alias("type"),
-        c("cable_points").alias("points"),
     )
-    return slope_rows.unionByName(lift_rows)
+    lift_pieces = lifts.select("resort_id", F.lit("lift").alias("kind"), (c("lift_no") + 1).alias("item"), F.lit(0).alias("piece"), c("cable_points").alias("points"))
+    return slope_tracks.unionByName(lift_tracks), slope_pieces.unionByName(lift_pieces)
 
 
 _R0 = "printf('%.0f', round_even({0},0)+0.0)"
@@ -191,16 +193,15 @@ _GPX = S.with_(
     UNION ALL SELECT resort_id, 'lift', l2.lift_no+1, lift_id||' - '||lift_type, 'Rise '||{_R0.format('end_elevation-start_elevation')}||'m - Length '||{_R0.format('d')}||'m', 'lift_'||lift_type, np FROM l2 JOIN nc ON nc.lift_no=l2.lift_no""",
 )
 def snk1(spark, sf):
-    t = gpx_tracks(spark, sf)
-    return t.select("resort_id", "kind", "item", "name", c("desc").alias("descr"), "type", F.size("points").alias("n_points"))
+    tracks, pieces = gpx_parts(spark, sf)
+    n = pieces.groupBy("kind", "item").agg(F.sum(F.size("points")).alias("n_points"))
+    return tracks.join(n, ["kind", "item"]).select("resort_id", "kind", "item", "name", c("desc").alias("descr"), "type", "n_points")
 
 
 @query("snk1_gpx_fragments")
 def snk1_text(spark, sf):
     """GPX text fragments (doubles print engine-specific, so no SQL twin; parsed back in the tests)."""
-    t = gpx_tracks(spark, sf)
-    text = t.select("resort_id", "kind", "item", J.track(c("name"), c("desc"), c("type"), c("points")).alias("text"))
-    return J.gpx_fragments(text, "2026-01-01T00:00:00")
+    return J.gpx_fragments(*gpx_parts(spark, sf), "2026-01-01T00:00:00")
 
 
 @query(

@@ -105,16 +105,20 @@ def whole(x: Column) -> Column:
     return F.format_string("%.0f", F.bround(x, 0))
 
 
-def track(name: Column, desc: Column, kind: Column, points: Column) -> Column:
-    """One <trk> element."""
+def track_head(name: Column, desc: Column, kind: Column) -> Column:
+    """Opening of one <trk> element up to its points."""
+    return F.concat(
+        F.lit("<trk><name>"), xml_text(name), F.lit("</name><desc>"), xml_text(desc), F.lit("</desc><type>"), xml_text(kind),
+        F.lit("</type><trkseg>"),
+    )
+
+
+def track_points(points: Column) -> Column:
     point = lambda p: F.concat(
         F.lit('<trkpt lat="'), p["lat"].cast("string"), F.lit('" lon="'), p["lon"].cast("string"), F.lit('"><ele>'),
         F.format_string("%.1f", F.bround(p["elevation"], 1)), F.lit("</ele></trkpt>"),
     )
-    return F.concat(
-        F.lit("<trk><name>"), xml_text(name), F.lit("</name><desc>"), xml_text(desc), F.lit("</desc><type>"), xml_text(kind),
-        F.lit("</type><trkseg>"), F.array_join(F.transform(points, point), ""), F.lit("</trkseg></trk>"),
-    )
+    return F.array_join(F.transform(points, point), "")
 
 
 def slope_desc(difficulty: Column, drop: Column, length: Column) -> Column:
@@ -125,23 +129,34 @@ def lift_desc(rise: Column, length: Column) -> Column:
     return F.concat(F.lit("Rise "), whole(rise), F.lit("m - Length "), whole(length), F.lit("m"))
 
 
-def gpx_fragments(tracks: DataFrame, exported_at: str) -> DataFrame:
-    """Header, tracks and footer of every resort's GPX document as ordered fragments.
+TRACK_END = 2**31
+
+
+def gpx_fragments(tracks: DataFrame, pieces: DataFrame, exported_at: str) -> DataFrame:
+    """GPX documents as ordered fragments (resort_id, part, item, piece, text).
 
-    ``tracks``: resort_id, kind ('slope' first, then 'lift'), item, text.
+    ``tracks``: resort_id, kind ('slope' before 'lift'), item, name, desc, type.
+    ``pieces``: resort_id, kind, item, piece (order), points (bounded array, one segment or
+    one cable).  A track is never collected: its opening, its pieces and its end are rows.
     """
     head = (
         f'<gpx xmlns="{C.GPX_NAMESPACE}" version="1.1" creator="{C.GPX_CREATOR}"><metadata>'
         f"<name>{C.GPX_CREATOR} Export</name><time>{exported_at}</time></metadata>"
     )
+    zero = F.lit(0).cast("long")
     ends = F.array(
         *[
-            F.struct(F.lit(p).alias("part"), F.lit(0).cast("long").alias("item"), F.lit(t).alias("text"))
+            F.struct(F.lit(p).alias("part"), zero.alias("item"), zero.alias("piece"), F.lit(t).alias("text"))
             for p, t in ((0, head), (3, "</gpx>"))
         ]
     )
-    frame = tracks.select("resort_id").distinct().select("resort_id", F.inline(ends))
-    body = tracks.select(
-        "resort_id", F.when(F.col("kind") == "slope", 1).otherwise(2).alias("part"), F.col("item").cast("long").alias("item"), "text"
+    frame = tracks.groupBy("resort_id").agg(F.count(F.lit(1)).alias("_n")).select("resort_id", F.inline(ends))
+    part = F.when(F.col("kind") == "slope", 1).otherwise(2).alias("part")
+    item = F.col("item").cast("long").alias("item")
+    shell = F.array(
+        F.struct(zero.alias("piece"), track_head(F.col("name"), F.col("desc"), F.col("type")).alias("text")),
+        F.struct(F.lit(TRACK_END).cast("long").alias("piece"), F.lit("</trkseg></trk>").alias("text")),
     )
-    return frame.unionByName(body)
+    shells = tracks.select("resort_id", part, item, F.inline(shell))
+    body = pieces.select("resort_id", part, item, (F.col("piece") + 1).cast("long").alias("piece"), track_points(F.col("points")).alias("text"))
+    return frame.unionByName(shells).unionByName(body)
