@@ -257,6 +257,16 @@ def srt3(spark, sf):
     )
 
 
+@query(
+    "srt4_default_selection",
+    FAN + "SELECT r.request_id, min(f.ord) AS selected FROM req r LEFT JOIN fan f ON f.request_id=r.request_id GROUP BY 1",
+)
+def srt4(spark, sf):
+    """First proposal of every request, none where the fan is empty."""
+    first = fan(spark, sf).groupBy("request_id").agg(F.min("ord").alias("selected"))
+    return X.requests(spark, sf).select("request_id").join(first, "request_id", "left")
+
+
 @query(
     "agg19_proposal_summary",
     FAN + "SELECT request_id, ord, round(avg_slope_pct-tgt,4) AS off_target, round(traced_m,4) AS length_m, round(drop_m,4) AS drop_m FROM fan",
