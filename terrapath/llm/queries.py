@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapath.llm import mixing, sharding, url_filter
+from terrapath.llm import decontaminate, mixing, sharding, simhash, toxicity, url_filter
 from terrapath.llm.common import table
 
 #: Rules of the URL query: host, path, action.
@@ -23,6 +23,30 @@ def url_rules(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, action)")
 
 
+def part_of(column: str, parts: int) -> Column:
+    """Remainder of the CRC-32 of an id's text."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Trained without the rows that are held out."""
+    return toxicity.train(toxicity.sample_labelled(docs, labels.where(part_of("doc_id", 5) != 0)))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(part_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, mixing.Target(repetition=REPETITION))
@@ -94,7 +118,10 @@ SELECT page_id, host, path, r_host || r_path AS rule, coalesce(action, 'allow')
 """
 
 QUERIES = {
+    "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op4_toxicity": op4_toxicity,
     "op5_temperature_mix": op5_temperature_mix,
+    "op6_simhash": op6_simhash,
     "op9_jump_shards": op9_jump_shards,
     "op10_url_rules": op10_url_rules,
 }
