@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapath.llm import decontaminate, mixing, sharding, simhash, toxicity, url_filter
+from terrapath.llm import decontaminate, language, mixing, sharding, simhash, sketch, toxicity, url_filter
 from terrapath.llm.common import table
 
 #: Rules of the URL query: host, path, action.
@@ -28,6 +28,13 @@ def part_of(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = docs.where(part_of("doc_id", 3) != 1)
+    found = language.identify(docs.select("doc_id", "text"), language.train(language.sample_labelled(learned)))
+    return found.select("doc_id", F.coalesce(part_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +54,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, mixing.Target(repetition=REPETITION))
@@ -118,10 +129,12 @@ SELECT page_id, host, path, r_host || r_path AS rule, coalesce(action, 'allow')
 """
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op4_toxicity": op4_toxicity,
     "op5_temperature_mix": op5_temperature_mix,
     "op6_simhash": op6_simhash,
+    "op7_fingerprints": op7_fingerprints,
     "op9_jump_shards": op9_jump_shards,
     "op10_url_rules": op10_url_rules,
 }
