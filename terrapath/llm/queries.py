@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapath.llm import decontaminate, language, mixing, sharding, simhash, sketch, toxicity, url_filter
+from terrapath.llm import decontaminate, language, mixing, sharding, simhash, sketch, suffix, toxicity, url_filter
 from terrapath.llm.common import table
 
 #: Rules of the URL query: host, path, action.
@@ -58,6 +58,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, mixing.Target(repetition=REPETITION))
@@ -135,6 +139,7 @@ QUERIES = {
     "op5_temperature_mix": op5_temperature_mix,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jump_shards": op9_jump_shards,
     "op10_url_rules": op10_url_rules,
 }
