@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapath.llm import decontaminate, language, mixing, sharding, simhash, sketch, suffix, toxicity, url_filter
+from terrapath.llm import chaining, decontaminate, language, mixing, sharding, simhash, sketch, suffix, toxicity, url_filter
 from terrapath.llm.common import table
 
 #: Rules of the URL query: host, path, action.
@@ -39,6 +39,10 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Trained without the rows that are held out."""
     return toxicity.train(toxicity.sample_labelled(docs, labels.where(part_of("doc_id", 5) != 0)))
@@ -135,6 +139,7 @@ SELECT page_id, host, path, r_host || r_path AS rule, coalesce(action, 'allow')
 QUERIES = {
     "op1_language": op1_language,
     "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op3_shared_passages": op3_shared_passages,
     "op4_toxicity": op4_toxicity,
     "op5_temperature_mix": op5_temperature_mix,
     "op6_simhash": op6_simhash,
