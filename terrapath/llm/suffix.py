@@ -316,7 +316,8 @@ def repeated_ranges(docs: DataFrame, length: int = 200, doc_id: str = "doc_id",
        equally; about one suffix in 85 is kept, whatever the text.
     2. Samples meet by gram.  A gram that occurs once is done.  Where all bytes that the strings of a gram's
        samples cover are the same, all of them repeat.
-    3. Other samples bring the bytes around them, are sorted by gram and suffix in Spark's external
+    3. Samples of one gram that cover the same bytes are one context: what it covers repeats where it has
+       copies, and one sample stands for it.  Contexts bring the bytes around the sample, are sorted by gram and suffix in Spark's external
        sort, which spills to disk, and the strings further left are induced with their common prefixes
        (``induce``).
     4. A gram with more than ``crowd`` rows would be one large task; its strings are counted by hash
@@ -327,17 +328,25 @@ def repeated_ranges(docs: DataFrame, length: int = 200, doc_id: str = "doc_id",
     rows = _numbered(docs, doc_id, text)
     marks = rows.select("rid", "text").where(F.octet_length("text") >= length).mapInArrow(_sampler(length), "rid bigint, packed bigint, gram bigint, cover bigint")
     grams = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high")).where("n > 1")
-    met = store(marks.select("rid", "packed", "gram").join(grams, "gram").select("rid", "packed", "gram", "n", (F.col("low") == F.col("high")).alias("whole")))
-    whole = met.where("whole").select("rid", *_range(length))
+    met = store(
+        marks.join(grams, "gram").select("rid", "packed", "gram", "cover", "n", (F.col("low") == F.col("high")).alias("whole"))
+    )
     parted = met.where("NOT whole")
+    contexts = store(
+        parted.groupBy("gram", "cover").agg(
+            F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min("rid").alias("rid"), F.min_by("packed", "rid").alias("packed")
+        )
+    )
+    copied = parted.join(contexts.where("copies > 1").select("gram", "cover"), ["gram", "cover"], "left_semi")
+    out = met.where("whole").select("rid", *_range(length)).unionByName(copied.select("rid", *_range(length)))
 
     def cut(some: DataFrame) -> DataFrame:
         lists = some.groupBy("rid").agg(F.collect_set(F.struct("packed", "gram")).alias("marks"))
         return rows.join(lists, "rid").select("rid", "text", "marks").mapInArrow(_cutter(length), "gram bigint, rid bigint, packed bigint, before binary, rest binary")
 
-    sorted_ = cut(parted.where(F.col("n") <= crowd)).repartition("gram").sortWithinPartitions("gram", "rest")
-    out = whole.unionByName(sorted_.mapInArrow(_inducer(length), "rid bigint, begin bigint, end bigint"))
-    many = parted.where(F.col("n") > crowd)
+    sorted_ = cut(contexts.where(F.col("n") <= crowd)).repartition("gram").sortWithinPartitions("gram", "rest")
+    out = out.unionByName(sorted_.mapInArrow(_inducer(length), "rid bigint, begin bigint, end bigint"))
+    many = contexts.where(F.col("n") > crowd)
     if many.limit(1).count():
         strings = store(cut(many).mapInArrow(_strings(length), "string binary, rid bigint, begin bigint, end bigint"))
         twice = strings.groupBy("string").count().where("count > 1").select("string")
