@@ -327,7 +327,8 @@ def repeated_ranges(docs: DataFrame, length: int = 200, doc_id: str = "doc_id",
         raise ValueError("length must be 32 to 287")
     rows = _numbered(docs, doc_id, text)
     marks = rows.select("rid", "text").where(F.octet_length("text") >= length).mapInArrow(_sampler(length), "rid bigint, packed bigint, gram bigint, cover bigint")
-    grams = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high")).where("n > 1")
+    counted = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high"))
+    grams = store(counted.where("n > 1"))  # a written table, so that the join below can split a frequent gram
     met = store(
         marks.join(grams, "gram").select("rid", "packed", "gram", "cover", "n", (F.col("low") == F.col("high")).alias("whole"))
     )
