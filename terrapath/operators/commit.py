@@ -19,16 +19,17 @@ def commit_paths(
     cells: DataFrame,
     meta: D.DemMeta,
     existing: DataFrame | None = None,
-    node_counter: int = 0,
-    segment_counter: int = 0,
-) -> DataFrame:
+    counters: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Commit proposals (resort_id, ord, points, target_node_id) in order.
 
-    Empty proposals are skipped; single-point ones must be split off beforehand (see
-    ``rules``).  Ends snap to nodes within 30 m in arrival order.  A connector to an
-    existing node takes that node and ends exactly on it.
+    Returns the segments, and the rejected proposals with a reason: a proposal needs two points.
+    Empty proposals are skipped.  Ends snap to nodes within 30 m in arrival order.  A connector to an
+    existing node takes that node and ends exactly on it.  ``counters``: resort_id, node,
+    segment, the highest numbers each resort has used (none: 0).
     """
     p = proposals.where(F.size("points") >= 2)
+    rejected = proposals.where(F.size("points") == 1).select("resort_id", "ord", F.lit("a path needs at least two points").alias("reason"))
     if existing is not None:
         target = existing.select("resort_id", F.col("node_id").alias("target_node_id"), F.struct("lon", "lat", "elevation").alias("_to"))
         p = p.join(target, ["resort_id", "target_node_id"], "left")
@@ -41,20 +42,24 @@ def commit_paths(
         F.struct(F.when(F.col("_to").isNull(), F.col("ord") * 2 + 1).alias("end_ord"), F.element_at("points", -1).alias("p")),
     )
     loose = p.select("resort_id", F.inline(ends)).where(F.col("end_ord").isNotNull()).select("resort_id", "end_ord", "p.*")
-    snapped = snap_sequence(loose, "resort_id", "end_ord", existing, node_counter)
+    used = None if counters is None else counters.select("resort_id", F.col("node").alias("used"))
+    snapped = snap_sequence(loose, "resort_id", "end_ord", existing, used)
     at = lambda name, off: snapped.select(
         "resort_id", ((F.col("end_ord") - off) / 2).cast("long").alias("ord"), F.col("node_id").alias(name)
     ).where((F.col("end_ord") % 2) == off)
     snapped = snapped.select("resort_id", "end_ord", "node_id")
     p = p.join(at("start_node_id", 0), ["resort_id", "ord"]).join(at("_end", 1), ["resort_id", "ord"], "left")
     p = p.withColumn("end_node_id", F.coalesce("_end", "target_node_id")).drop("_end", "_to")
-    numbered = running_total(p, ["resort_id"], "ord", {"_n": F.lit(1)}).withColumn("_n", F.col("_n") + segment_counter)
+    numbered = running_total(p, ["resort_id"], "ord", {"_n": F.lit(1)})
+    if counters is not None:
+        numbered = numbered.join(counters.select("resort_id", "segment"), "resort_id", "left")
+        numbered = numbered.withColumn("_n", F.col("_n") + F.coalesce("segment", F.lit(0))).drop("segment")
     key = F.concat_ws("/", "resort_id", "ord")
     a, b = F.element_at("points", 1), F.element_at("points", 2)
     heads = numbered.select(key.alias("_key"), a["lon"].alias("lon"), a["lat"].alias("lat"))
     slope = D.gradient(heads, cells, meta, "_key").select("_key", "slope_pct", "bearing_deg")
     side = side_slope(F.col("slope_pct"), F.col("bearing_deg"), a["lon"], a["lat"], b["lon"], b["lat"])
-    return (
+    segments = (
         numbered.withColumn("_key", key)
         .join(slope, "_key")
         .withColumn("_side", side)
@@ -70,6 +75,7 @@ def commit_paths(
             F.col("_side.direction").alias("side_slope_dir"),
         )
     )
+    return segments, rejected
 
 
 def finish_slopes(groups: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def finish_slopes(groups: DataFrame, facts: DataFrame, nodes: DataFrame) -> Data
     Groups whose first or last segment, or whose end node, is unknown give no slope.
     """
     listed = slope_members(groups).join(groups.select("resort_id", "slope_id", (F.size("segment_ids") - 1).alias("_last")), ["resort_id", "slope_id"])
-    known = listed.join(facts.select("segment_id", "start_node_id", "end_node_id", "max_slope_pct", "difficulty"), "segment_id")
+    known = listed.join(facts.select("resort_id", "segment_id", "start_node_id", "end_node_id", "max_slope_pct", "difficulty"), ["resort_id", "segment_id"])
     heads = known.groupBy("resort_id", "slope_id").agg(
         F.max(F.when(F.col("pos") == 0, F.col("start_node_id"))).alias("start_node_id"),
         F.max(F.when(F.col("pos") == F.col("_last"), F.col("end_node_id"))).alias("end_node_id"),
@@ -94,5 +100,5 @@ def finish_slopes(groups: DataFrame, facts: DataFrame, nodes: DataFrame) -> Data
 def rename_segments(segments: DataFrame, finished: DataFrame, slopes: DataFrame) -> DataFrame:
     """Segments take the name of the slope that was finished with them."""
     names = slope_members(slopes).join(finished.select("resort_id", "slope_id", F.col("name").alias("_new")), ["resort_id", "slope_id"])
-    first = names.groupBy("segment_id").agg(F.min("_new").alias("_new"))
-    return segments.join(first, "segment_id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new")
+    first = names.groupBy("resort_id", "segment_id").agg(F.min("_new").alias("_new"))
+    return segments.join(first, ["resort_id", "segment_id"], "left").withColumn("name", F.coalesce("_new", "name")).drop("_new")

@@ -33,16 +33,21 @@ def tile_strips(cells: DataFrame, meta: D.DemMeta, max_length_m: float, active:
     """Raster patches (tile plus halo) of the ``active`` tiles, one row per raster row with a bounded array of cells."""
     hr, hc = halo_cells(meta, max_length_m)
 
-    def covering(axis: str, halo: int) -> Column:
-        return F.explode(
-            F.sequence(F.floor((F.col(axis) - halo) / tile), F.floor((F.col(axis) + halo) / tile))
-        )
-
+    def reached(axis: str, halo: int) -> Column:
+        low, high = F.col(axis) * tile - halo, F.col(axis) * tile + (tile - 1 + halo)
+        return F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile)))
+
+    # the few active tiles are widened, not the raster: a cell is copied only for active tiles it can reach
+    sources = active.select(F.col("tile_r").alias("_tr"), F.col("tile_c").alias("_tc"), reached("tile_r", hr).alias("_r"))
+    sources = sources.select("*", reached("_tc", hc).alias("_c"))
+    home = cells.select(
+        "row", "col", F.col("elevation").alias("z"), F.floor(F.col("row") / tile).alias("_r"), F.floor(F.col("col") / tile).alias("_c")
+    )
+    near = lambda axis, t, halo: F.col(axis).between(F.col(t) * tile - halo, F.col(t) * tile + (tile - 1 + halo))
     return (
-        cells.select("row", "col", F.col("elevation").alias("z"), covering("row", hr).alias("tile_r"))
-        .select("*", covering("col", hc).alias("tile_c"))
-        .join(active.select("tile_r", "tile_c"), ["tile_r", "tile_c"], "left_semi")
-        .groupBy("tile_r", "tile_c", "row")
+        home.join(sources, ["_r", "_c"])
+        .where(near("row", "_tr", hr) & near("col", "_tc", hc))
+        .groupBy(F.col("_tr").alias("tile_r"), F.col("_tc").alias("tile_c"), "row")
         .agg(F.sort_array(F.collect_list(F.struct("col", "z"))).alias("strip"))
     )
 

@@ -35,15 +35,15 @@ def segment_facts(segments: DataFrame) -> DataFrame:
 def segment_parent(segments: DataFrame, slopes: DataFrame) -> DataFrame:
     """Parent slope of every segment (first slope wins), NULL for unfinished ones."""
     number = F.substring("slope_id", len(C.ID_PREFIX["slope"]) + 1, 20).cast("long")
-    owner = slope_members(slopes).groupBy("segment_id").agg(F.min_by("slope_id", number).alias("slope_id"))
-    return segments.join(owner, "segment_id", "left")
+    owner = slope_members(slopes).groupBy("resort_id", "segment_id").agg(F.min_by("slope_id", number).alias("slope_id"))
+    return segments.join(owner, ["resort_id", "segment_id"], "left")
 
 
 def slope_stats(slopes: DataFrame, facts: DataFrame) -> DataFrame:
     """Totals, steepest section, difficulty and warnings per slope over the segments present."""
     parts = slope_members(slopes).join(
-        facts.select("segment_id", "length_m", "drop_m", "max_slope_pct", F.size("warnings").alias("_w"), "first_pt", "last_pt"),
-        "segment_id",
+        facts.select("resort_id", "segment_id", "length_m", "drop_m", "max_slope_pct", F.size("warnings").alias("_w"), "first_pt", "last_pt"),
+        ["resort_id", "segment_id"],
     )
     return (
         parts.groupBy("resort_id", "slope_id")
@@ -60,11 +60,12 @@ def slope_stats(slopes: DataFrame, facts: DataFrame) -> DataFrame:
 
 def group_stats(groups: DataFrame, facts: DataFrame, key: str, ids: str) -> DataFrame:
     """Running statistics of listed segments; all defaults when the list is empty or its first or last is unknown."""
-    listed = groups.select(key, F.posexplode_outer(ids).alias("pos", "segment_id"), (F.size(ids) - 1).alias("_last"))
+    keys = ["resort_id", key]
+    listed = groups.select(*keys, F.posexplode_outer(ids).alias("pos", "segment_id"), (F.size(ids) - 1).alias("_last"))
     known = listed.join(
-        facts.select("segment_id", "length_m", "max_slope_pct", "first_pt", "last_pt"), "segment_id", "left"
+        facts.select("resort_id", "segment_id", "length_m", "max_slope_pct", "first_pt", "last_pt"), ["resort_id", "segment_id"], "left"
     )
-    agg = known.groupBy(key).agg(
+    agg = known.groupBy(*keys).agg(
         F.max(F.when(F.col("pos") == 0, F.col("first_pt.elevation"))).alias("start_elev"),
         F.max(F.when(F.col("pos") == F.col("_last"), F.col("last_pt.elevation"))).alias("current_elev"),
         F.sum("length_m").alias("total_length"),
@@ -72,7 +73,7 @@ def group_stats(groups: DataFrame, facts: DataFrame, key: str, ids: str) -> Data
     )
     ok = F.col("start_elev").isNotNull() & F.col("current_elev").isNotNull()
     pick = lambda n: F.when(ok, F.col(n)).otherwise(F.lit(0.0))
-    out = agg.select(key, *[pick(n).alias(n) for n in ("start_elev", "current_elev", "total_length", "max_gradient")])
+    out = agg.select(*keys, *[pick(n).alias(n) for n in ("start_elev", "current_elev", "total_length", "max_gradient")])
     drop = F.col("start_elev") - F.col("current_elev")
     return (
         out.withColumn("total_drop", drop)
@@ -139,11 +140,12 @@ def cancel_building(segments: DataFrame, slopes: DataFrame, log: DataFrame, lift
 def joined_points(groups: DataFrame, segments: DataFrame, key: str, skip_junctions: bool = True) -> DataFrame:
     """Points of listed segments in order, one row per point with a dense position.
 
-    ``groups``: key, pos, segment_id.  Segment offsets are a running total, so a slope
+    ``groups``: resort_id, key, pos, segment_id.  Segment offsets are a running total, so a slope
     of any number of segments is never collected into one row.
     """
-    parts = groups.join(segments.select("segment_id", "points"), "segment_id").withColumn("_n", F.size("points"))
-    ran = running_total(parts, [key], "pos", {"_sum": F.col("_n"), "_cnt": (F.col("_n") > 0).cast("int")})
+    keys = ["resort_id", key]
+    parts = groups.join(segments.select("resort_id", "segment_id", "points"), ["resort_id", "segment_id"]).withColumn("_n", F.size("points"))
+    ran = running_total(parts, keys, "pos", {"_sum": F.col("_n"), "_cnt": (F.col("_n") > 0).cast("int")})
     before, cut = F.col("_sum") - F.col("_n"), F.col("_cnt") - (F.col("_n") > 0).cast("int")
     if skip_junctions:
         first = F.when(before > 0, F.lit(1)).otherwise(F.lit(0))
@@ -151,9 +153,9 @@ def joined_points(groups: DataFrame, segments: DataFrame, key: str, skip_junctio
     else:
         first, base = F.lit(0), before
     return (
-        ran.select(key, "segment_id", base.alias("_base"), first.alias("_first"), F.posexplode("points").alias("_j", "p"))
+        ran.select(*keys, "segment_id", base.alias("_base"), first.alias("_first"), F.posexplode("points").alias("_j", "p"))
         .where(F.col("_j") >= F.col("_first"))
-        .select(key, "segment_id", (F.col("_base") + F.col("_j")).alias("i"), "p.lon", "p.lat", "p.elevation")
+        .select(*keys, "segment_id", (F.col("_base") + F.col("_j")).alias("i"), "p.lon", "p.lat", "p.elevation")
     )
 
 

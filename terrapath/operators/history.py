@@ -67,14 +67,21 @@ def debounce(clicks: DataFrame, session: str, order: str, wait_ms: int = C.DEBOU
     chunk before until no start state changes.  The first chunk is right at once and each
     round makes at least the next one right; a session forgets its past after a few
     accepted clicks, so two or three rounds are usual and one is enough for short sessions.
+    Clicks of a session are in time order, so a wait that is over at a chunk's first click is over for all
+    of it: such a start state carries no time, and a session that only repeats its last click settles
+    as fast as any other.
     """
     items = _chunks(clicks, session, order, [order, "ms", "x", "y", "obj"], chunk)
     blank = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("x", "double"), ("y", "double"), ("obj", "string"), ("ms", "bigint"))])
     state = cut_lineage(items.select(session, "chunk", blank.alias("start"), _fold_clicks(F.col("items"), blank, wait_ms).alias("r")))
+    opens = items.select(session, "chunk", F.element_at("items", 1)["ms"].alias("_first_ms"))
     if not items.where(F.col("chunk") > 0).isEmpty():
         while True:
             feed = state.select(session, (F.col("chunk") + 1).alias("chunk"), F.col("r.s").alias("_in"))
-            joined = state.join(feed, [session, "chunk"], "left").withColumn("_in", F.coalesce("_in", blank))
+            over = F.col("_first_ms") - F.col("_in.ms") >= wait_ms
+            timeless = F.struct("_in.x", "_in.y", "_in.obj", F.when(~over, F.col("_in.ms")).alias("ms"))
+            joined = state.join(feed, [session, "chunk"], "left").join(opens, [session, "chunk"])
+            joined = joined.withColumn("_in", F.coalesce(F.when(F.col("_in").isNotNull(), timeless), blank))
             stale = joined.where(~F.col("_in").eqNullSafe(F.col("start")))
             if stale.isEmpty():
                 break
@@ -185,6 +192,37 @@ def surviving_edits(log: DataFrame, resort: str = "resort_id", chunk: int = C.FO
     return log.where(F.col("op") != "UNDO").join(taken, [resort, "op_seq"], "left_anti")
 
 
+def current_tables(log: DataFrame, resort: str = "resort_id", chunk: int = C.FOLD_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, slopes and lifts in force after an edit log with undo.
+
+    ``log``: resort, op_seq, op, entity_id, name, segment_ids.  ADD_SEGMENTS and FINISH_SLOPE list
+    segments; FINISH_SLOPE and ADD_LIFT make an entity, DELETE_SLOPE (with its segments) and DELETE_LIFT remove it.
+    Undo takes the latest operation in force, so the tables after it are those of the operations that remain: a
+    restored slope has its segments again, and the segments of a taken back slope their own names.
+    """
+    alive = cut_lineage(surviving_edits(log, resort, chunk))
+    of = lambda op: alive.where(F.col("op") == op)
+    made = lambda op, gone: of(op).select(resort, "op_seq", "entity_id", "name", "segment_ids").join(
+        of(gone).select(resort, "entity_id"), [resort, "entity_id"], "left_anti"
+    )
+    slopes, lifts = made("FINISH_SLOPE", "DELETE_SLOPE"), made("ADD_LIFT", "DELETE_LIFT").drop("segment_ids")
+    dropped = (
+        of("FINISH_SLOPE")
+        .join(of("DELETE_SLOPE").select(resort, "entity_id"), [resort, "entity_id"], "left_semi")
+        .select(resort, F.explode("segment_ids").alias("segment_id"))
+    )
+    owner = slopes.select(resort, F.explode("segment_ids").alias("segment_id"), "op_seq", F.col("name").alias("_name"))
+    owner = owner.groupBy(resort, "segment_id").agg(F.min_by("_name", "op_seq").alias("_name"))
+    segments = (
+        of("ADD_SEGMENTS")
+        .select(resort, "op_seq", F.explode("segment_ids").alias("segment_id"))
+        .join(dropped, [resort, "segment_id"], "left_anti")
+        .join(owner, [resort, "segment_id"], "left")
+    )
+    own = F.concat(F.lit("Segment "), F.substring("segment_id", len(C.ID_PREFIX["segment"]) + 1, 20))
+    return segments.select(resort, "op_seq", "segment_id", F.coalesce("_name", own).alias("name")), slopes, lifts
+
+
 # ---------------------------------------------------------------- transitions
 
 

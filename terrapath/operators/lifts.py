@@ -14,6 +14,7 @@ from terrapath.functions.geo import bearing_deg, destination, haversine_m, let,
 from terrapath.functions.paths import id_number, lift_name
 from terrapath.functions.rules import lift_nodes_differ, lift_uphill
 from terrapath.functions.terrain import lookup
+from terrapath.operators.snapping import snap_sequence
 from terrapath.sources import dem as D
 
 PYLON_KEYS = ["pylon_height", "station_height", "min_spacing", "max_spacing", "min_clearance", "sag"]
@@ -29,7 +30,7 @@ def length_between() -> Column:
 
 
 def terrain_samples(lifts: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
-    """Points along the lift line, one row per point (lift_id, i, n, lon, lat, elevation)."""
+    """Points along the lift line, one row per point (resort_id, lift_id, i, n, lon, lat, elevation)."""
     d = length_between()
     steps = F.when(d < C.LIFT_SAMPLE_M, F.lit(1)).otherwise(F.greatest(F.lit(2), (d / C.LIFT_SAMPLE_M).cast("int")))
     heading = bearing_deg(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
@@ -48,18 +49,18 @@ def terrain_samples(lifts: DataFrame, cells: DataFrame, meta: D.DemMeta) -> Data
     found = D.lookup_elevation(line, cells, meta, out="_z")
     z0, z1 = F.col("start_elevation"), F.col("end_elevation")
     z = F.when(first, z0).when(last, z1).otherwise(F.coalesce("_z", z0 + share * (z1 - z0)))
-    return found.select("lift_id", "i", "n", "lon", "lat", z.alias("elevation"))
+    return found.select("resort_id", "lift_id", "i", "n", "lon", "lat", z.alias("elevation"))
 
 
 def with_terrain(lifts: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
     """Lifts with their ordered ``terrain_points`` array (bounded by the lift length)."""
     points = (
         terrain_samples(lifts, cells, meta)
-        .groupBy("lift_id")
+        .groupBy("resort_id", "lift_id")
         .agg(F.sort_array(F.collect_list(F.struct("i", "lon", "lat", "elevation"))).alias("_p"))
-        .select("lift_id", F.transform("_p", lambda p: F.struct(p["lon"], p["lat"], p["elevation"])).alias("terrain_points"))
+        .select("resort_id", "lift_id", F.transform("_p", lambda p: F.struct(p["lon"], p["lat"], p["elevation"])).alias("terrain_points"))
     )
-    return lifts.join(points, "lift_id").withColumn("length_m", length_between())
+    return lifts.join(points, ["resort_id", "lift_id"]).withColumn("length_m", length_between())
 
 
 def cable_elevation(t, z0, z1, span_m, sag) -> Column:
@@ -310,6 +311,36 @@ def add_lifts(ends: DataFrame, cells: DataFrame, meta: D.DemMeta) -> tuple[DataF
     return create(checked.where(F.col("reason").isNull()).drop("reason"), cells, meta), checked.where(F.col("reason").isNotNull())
 
 
+def place_lifts(
+    stations: DataFrame, cells: DataFrame, meta: D.DemMeta, nodes: DataFrame, counters: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Add lifts between map positions: (lifts, rejected with reason).
+
+    ``stations``: as for ``create`` with resort_id and ord; an end with a node id stands on that node, another one
+    joins the nearest node within 30 m (of ``nodes``: resort_id, node_id, node_ord, lon, lat, elevation, or made by
+    an earlier lift) or becomes a node.  Rules are checked first: uphill, and not the same node where both are given.
+    """
+    given = F.col("start_node_id").isNotNull() & F.col("end_node_id").isNotNull()
+    reason = F.coalesce(
+        lift_uphill(F.col("start_elevation"), F.col("end_elevation")),
+        F.when(given, lift_nodes_differ(F.col("start_node_id"), F.col("end_node_id"))),
+    )
+    checked = stations.withColumn("reason", reason)
+    good = checked.where(F.col("reason").isNull()).drop("reason")
+    end = lambda k, name: F.struct(
+        (F.col("ord") * 2 + k).alias("end_ord"), F.col(f"{name}_node_id").alias("given"),
+        *[F.col(f"{name}_{n}").alias(n) for n in ("lon", "lat", "elevation")],
+    )
+    loose = good.select("resort_id", F.inline(F.array(end(0, "start"), end(1, "end")))).where("given IS NULL").drop("given")
+    snapped = snap_sequence(loose, "resort_id", "end_ord", nodes, counters).select("resort_id", "end_ord", "node_id")
+    for k, name in ((0, "start"), (1, "end")):
+        found = snapped.where(F.col("end_ord") % 2 == k).select(
+            "resort_id", ((F.col("end_ord") - k) / 2).cast("long").alias("ord"), F.col("node_id").alias("_found")
+        )
+        good = good.join(found, ["resort_id", "ord"], "left").withColumn(f"{name}_node_id", F.coalesce(f"{name}_node_id", "_found")).drop("_found")
+    return create(good, cells, meta), checked.where(F.col("reason").isNotNull())
+
+
 def steepest_between_pylons() -> Column:
     rest = F.greatest(F.size("pylons") - 1, F.lit(0))
     top = lambda p: p["ground_elevation_m"] + p["height_m"]

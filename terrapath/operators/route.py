@@ -84,24 +84,40 @@ def nearest_grid_nodes(nodes: DataFrame, requests: DataFrame, key: str = "reques
     )
 
 
-FOUND = "target_slope_pct double, cost double, rows array<int>, cols array<int>, lons array<double>, lats array<double>, elevations array<double>"
+FOUND = "target_slope_pct double, cost double, rows array<int>, cols array<int>, lons array<double>, lats array<double>, elevations array<double>, reason string"
+NO_ELEVATION = "elevation missing in the search grid"
+NO_PATH = "no path in the search grid"
+
+
+def grid_truncated() -> Column:
+    """The search square would need more than the greatest number of cells, so it covers a part of its ground."""
+    return (F.col("direct_m") * (1 + 2 * C.GRID_BUFFER) / C.GRID_STEP_M).cast("int") + 1 > C.GRID_MAX_CELLS
 
 
 def least_cost_paths(
     requests: DataFrame, cells: DataFrame, meta: D.DemMeta, key: str = "request_id", group_rows: int = GROUP_REQUESTS
 ) -> DataFrame:
-    """Cheapest grid path per request and grade.
+    """Cheapest grid path per request and grade, or one row with a ``reason`` where there is none.
 
-    ``requests``: key, lon, lat, target_lon, target_lat, direct_m; direct distances are
-    bounded by the target rule (1000 m), so a grid has at most 10 000 nodes.  Requests
-    meet the raster patch of their start tile in a cogroup (busy tiles are split) and
-    every grid is relaxed in place for all grades.  A grid with a missing elevation
-    yields no path.
+    ``requests``: key, lon, lat, target_lon, target_lat, direct_m.  A request inside the raster always
+    gives rows.  Requests beyond the usual length are solved apart, so that only they read wide
+    patches; their grid keeps its greatest size (``grid_truncated``).
+    """
+    far = requests.where(F.col("direct_m") > C.LENGTH_MAX_M)
+    longest = far.agg(F.max("direct_m")).first()[0]
+    near = _solve(requests.where(F.col("direct_m") <= C.LENGTH_MAX_M), cells, meta, key, group_rows, C.LENGTH_MAX_M)
+    return near if longest is None else near.unionByName(_solve(far, cells, meta, key, group_rows, longest))
+
+
+def _solve(
+    requests: DataFrame, cells: DataFrame, meta: D.DemMeta, key: str, group_rows: int, longest_m: float
+) -> DataFrame:
+    """A grid has at most 10 000 nodes.  Requests meet the raster patch of their start tile in a
+    cogroup (busy tiles are split) and every grid is relaxed in place for all grades.
     """
     row, col = D.cell_index(meta, F.col("lon"), F.col("lat"))
     work = (
-        requests.where(F.col("direct_m") <= C.LENGTH_MAX_M)
-        .select(key, "lon", "lat", "target_lon", "target_lat", "direct_m")
+        requests.select(key, "lon", "lat", "target_lon", "target_lat", "direct_m")
         .withColumn("tile_r", F.floor(row / C.TILE))
         .withColumn("tile_c", F.floor(col / C.TILE))
         .where(F.col("tile_r").isNotNull() & F.col("tile_c").isNotNull())
@@ -111,7 +127,7 @@ def least_cost_paths(
     work = work.join(salts, tile).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")).drop("_salts")
     # a grid reaches at most 1.6 direct distances from its start
     strips = (
-        tile_strips(cells, meta, 1.6 * C.LENGTH_MAX_M, salts)
+        tile_strips(cells, meta, 1.6 * longest_m, salts)
         .join(salts, tile)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
         .drop("_salts")
@@ -128,13 +144,16 @@ def least_cost_paths(
                 lons, lats = gridpath.search_grid(q.lon, q.lat, q.target_lon, q.target_lat, q.direct_m)
                 z = patch.elevation(lons, lats)
                 if np.isnan(z).any():
+                    out.append((getattr(q, key), np.nan, np.nan, None, None, None, None, None, NO_ELEVATION))
                     continue
                 start = gridpath.nearest(lons, lats, q.lon, q.lat)
                 goal = gridpath.nearest(lons, lats, q.target_lon, q.target_lat)
                 for grade, hit in zip(grades, gridpath.least_cost(lons, lats, z, start, goal, grades), strict=True):
-                    if hit is not None:
+                    if hit is None:
+                        out.append((getattr(q, key), grade, np.nan, None, None, None, None, None, NO_PATH))
+                    else:
                         cost, rr, cc = hit
-                        out.append((getattr(q, key), grade, cost, rr, cc, lons[rr, cc], lats[rr, cc], z[rr, cc]))
+                        out.append((getattr(q, key), grade, cost, rr, cc, lons[rr, cc], lats[rr, cc], z[rr, cc], None))
         return pd.DataFrame(out, columns=names)
 
     group = [*tile, "_salt"]
@@ -243,14 +262,35 @@ def straight_line(requests: DataFrame) -> DataFrame:
     )
 
 
+def refusal() -> Column:
+    """Why a request is not planned at all (NULL: it is)."""
+    return (
+        F.when(F.col("elevation").isNull() | F.col("target_elevation").isNull(), F.lit("no elevation at start or target"))
+        .when(F.col("elevation") <= F.col("target_elevation"), F.lit("target is not below the start"))
+        .when(~plan_ready(F.col("elevation"), F.col("target_elevation"), F.col("direct_m")), F.lit("target is too close"))
+    )
+
+
 def plan(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
     """Smoothed least-cost connections of every plannable request and grade."""
-    ready = with_elevations(requests, cells, meta)
-    ready = ready.where(plan_ready(F.col("elevation"), F.col("target_elevation"), F.col("direct_m")))
-    # solved once: smoothing reads the paths in several branches
-    raw = cut_lineage(
-        least_cost_paths(ready, cells, meta).select("request_id", "target_slope_pct", "cost", path_points().alias("points"))
+    return plan_or_refuse(requests, cells, meta)[0]
+
+
+def plan_or_refuse(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> tuple[DataFrame, DataFrame]:
+    """``plan``, and (request_id, reason) of every other request, so that none is lost."""
+    judged = with_elevations(requests, cells, meta).withColumn("_refusal", refusal())
+    ready = judged.where(F.col("_refusal").isNull()).drop("_refusal")
+    # solved once: smoothing and refusals read the paths in several branches
+    solved = cut_lineage(
+        least_cost_paths(ready, cells, meta).select("request_id", "target_slope_pct", "cost", path_points().alias("points"), "reason")
     )
+    raw = solved.where(F.col("reason").isNull()).drop("reason")
+    refused = judged.where(F.col("_refusal").isNotNull()).select("request_id", F.col("_refusal").alias("reason"))
+    unsolved = solved.groupBy("request_id").agg(F.max("reason").alias("reason"), F.count_if(F.col("reason").isNull()).alias("_n")).where("_n = 0")
+    return _smoothed_plan(raw, cells, meta), refused.unionByName(unsolved.drop("_n"))
+
+
+def _smoothed_plan(raw: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
     grade = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(d).alias("d"), F.lit(g).alias("g")) for o, d, g, t in C.GRADE_TARGETS])
     raw = raw.withColumn("_g", F.element_at(F.filter(grade, lambda x: x["t"] == F.col("target_slope_pct")), 1)).withColumn(
         "ord", F.col("_g.o")
@@ -274,11 +314,14 @@ def manual_paths(requests: DataFrame, cells: DataFrame, meta: D.DemMeta) -> Data
     """Distinct connections per request, gentlest first, or the straight line when there is none.
 
     Both sides of a grade give the same path and the left label wins, so every grade is
-    planned once.
+    planned once.  A request whose grid misses an elevation is an error, not a straight
+    line; ``plan_or_refuse`` names it.
     """
     known = with_elevations(requests, cells, meta).where(F.col("target_elevation").isNotNull() & F.col("elevation").isNotNull())
-    unique = drop_similar(plan(requests, cells, meta)).drop("cost")
-    rest = straight_line(known.join(unique, "request_id", "left_anti"))
+    planned, refused = plan_or_refuse(requests, cells, meta)
+    unique = drop_similar(planned).drop("cost")
+    failed = refused.where(F.col("reason") == NO_ELEVATION)
+    rest = straight_line(known.join(unique, "request_id", "left_anti").join(failed, "request_id", "left_anti"))
     return unique.withColumn("is_connector", F.lit(True)).unionByName(rest.withColumn("is_connector", F.lit(True)))
 
 

@@ -18,11 +18,13 @@ from terrapath.config import CHUNK_ROWS
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder of the session."""
+    """Materialise ``df`` once in the folder of ``spark.checkpoint.dir``; only a local master may go without that setting."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -108,23 +110,19 @@ def with_previous(
 ) -> DataFrame:
     """Values of the preceding row as new columns, for keys of any size.
 
-    ``pos`` must be dense across chunk borders: the last row of a chunk is also
-    sent to the next chunk, where it only serves as the predecessor.
+    Positions may have gaps.  A key is cut into chunks of ``chunk`` positions; the first row of
+    a chunk takes the last row present in the chunks before it, found among one small row per chunk.
     """
-    home = F.floor(F.col(pos) / chunk)
-    last = (F.col(pos) + 1) % chunk == 0
-    copies = F.when(
-        last,
-        F.array(
-            F.struct(home.alias("c"), F.lit(False).alias("halo")), F.struct((home + 1).alias("c"), F.lit(True).alias("halo"))
-        ),
-    ).otherwise(F.array(F.struct(home.alias("c"), F.lit(False).alias("halo"))))
-    spread = df.select("*", F.explode(copies).alias("_copy")).select(
-        *df.columns, F.col("_copy.c").alias("_chunk"), F.col("_copy.halo").alias("_halo")
-    )
+    keys = list(keys)
+    placed = df.withColumn("_chunk", F.floor(F.col(pos) / chunk))
+    item = F.struct(*[F.col(c).alias(f"_p_{out}") for c, out in cols.items()])
+    last = placed.groupBy(*keys, "_chunk").agg(F.max_by(item, pos).alias("_item"))
+    before = last.select(*keys, "_chunk", F.lag("_item").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
     w = W.partitionBy(*keys, "_chunk").orderBy(pos)
-    seen = spread.select("*", *[F.lag(c).over(w).alias(out) for c, out in cols.items()]).where(~F.col("_halo"))
-    return seen.drop("_halo") if keep_chunk else seen.drop("_chunk", "_halo")
+    inner = placed.select("*", F.row_number().over(w).alias("_rank"), *[F.lag(c).over(w).alias(f"_in_{out}") for c, out in cols.items()])
+    value = lambda out: F.when(F.col("_rank") == 1, F.col(f"_before._p_{out}")).otherwise(F.col(f"_in_{out}")).alias(out)
+    seen = inner.join(before, [*keys, "_chunk"]).select(*df.columns, "_chunk", *[value(out) for out in cols.values()])
+    return seen if keep_chunk else seen.drop("_chunk")
 
 
 def hot_key_salts(df: DataFrame, keys: Sequence[str], rows_per_group: int) -> DataFrame:

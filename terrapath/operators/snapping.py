@@ -96,9 +96,8 @@ def snap_sequence(
     scope: str,
     order: str,
     existing: DataFrame | None = None,
-    counter: int = 0,
+    counters: DataFrame | None = None,
     reach_m: float = C.NODE_SNAP_M,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Sequential get-or-create of nodes, computed in rounds over all points at once.
 
@@ -109,6 +108,8 @@ def snap_sequence(
     within reach holds an earlier undecided point; then every point with an earlier
     node in reach is settled.  The outcome is the sequential one.
 
+    ``counters``: scope and ``used``, the number of nodes already numbered there.
+
     Busy cells cost nothing extra: cell minima are partial aggregates and each point
     meets at most one node per cell.
     """
@@ -137,9 +138,7 @@ def snap_sequence(
 
     if seeds is not None:
         open_points = cut_lineage(settle(open_points, seeds))
-    for _ in range(max_rounds):
-        if open_points.isEmpty():
-            break
+    while not open_points.isEmpty():
         firsts = open_points.groupBy(scope, "_cell").agg(
             F.min(F.struct(order, "lon", "lat", "elevation")).alias("p")
         )
@@ -158,15 +157,13 @@ def snap_sequence(
         )
         created = new if created is None else created.unionByName(new)
         open_points = cut_lineage(settle(open_points, new))
-    else:
-        raise RuntimeError("snapping did not settle")
 
-    numbered = running_total(created, [scope], order, {"_n": F.lit(1)}) if created is not None else None
     nodes = None
-    if numbered is not None:
-        nodes = numbered.select(
-            scope, order, *spot, "elevation", F.concat(F.lit("N"), F.col("_n") + counter).alias("node_id"), (F.col("_n") + counter).alias("node_ord")
-        )
+    if created is not None:
+        numbered = running_total(created, [scope], order, {"_n": F.lit(1)})
+        if counters is not None:
+            numbered = numbered.join(counters, scope, "left").withColumn("_n", F.col("_n") + F.coalesce("used", F.lit(0)))
+        nodes = numbered.select(scope, order, *spot, "elevation", F.concat(F.lit("N"), "_n").alias("node_id"), F.col("_n").alias("node_ord"))
     if seeds is not None:
         nodes = seeds if nodes is None else nodes.unionByName(seeds)
     nodes = cut_lineage(nodes)

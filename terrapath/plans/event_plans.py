@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrapath import config as C
 from terrapath.functions import clicks as K
 from terrapath.operators import history as H
+from terrapath.operators.scan import number_rows, with_previous
 from terrapath.plans import sqlkit as S
 from terrapath.plans.registry import query, r4
 from terrapath.sources import dem as D
@@ -140,7 +141,8 @@ def join13(spark, sf):
 
     p = parsed(spark, sf).select("event_id", "click.marker_type", "click.node_id", "click.segment_id").where(c("marker_type").isin("node", "segment"))
     nodes = X.path_nodes(spark, sf).select("node_id", F.lit(True).alias("_n"))
-    owner = G.slope_members(X.slopes(spark, sf)).groupBy("segment_id").agg(F.min("slope_id").alias("slope_id"))
+    # the clicks of the fixture carry no resort; its ids are unique
+    owner = G.segment_parent(X.segments(spark, sf).select("resort_id", "segment_id"), X.slopes(spark, sf)).select("segment_id", "slope_id")
     j = p.join(nodes, "node_id", "left").join(owner, "segment_id", "left")
     node = c("marker_type") == "node"
     return j.select(
@@ -251,6 +253,45 @@ def grf7(spark, sf):
     return H.surviving_edits(X.edit_log(spark, sf)).groupBy("resort_id", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CURRENT = (
+    _STR7.rstrip()
+    + """,
+  lg AS (SELECT *, lag(op_seq) OVER (PARTITION BY resort_id ORDER BY op_seq) AS p FROM edits),
+  al AS (SELECT * FROM lg l WHERE op<>'UNDO' AND NOT EXISTS (SELECT 1 FROM rp u WHERE u.resort_id=l.resort_id AND u.undoes=l.op_seq)),
+  dl AS (SELECT resort_id, p FROM al WHERE op='DELETE_SLOPE'),
+  sl AS (SELECT * FROM al f WHERE op='FINISH_SLOPE' AND NOT EXISTS (SELECT 1 FROM dl WHERE dl.resort_id=f.resort_id AND dl.p=f.op_seq)),
+  rm AS (SELECT f.resort_id, f.p FROM al f JOIN dl ON dl.resort_id=f.resort_id AND dl.p=f.op_seq WHERE f.op='FINISH_SLOPE')
+  SELECT a.resort_id, 'segment' AS kind, 'S'||(2*a.op_seq+k) AS id, coalesce('Slope '||s.op_seq, 'Segment '||(2*a.op_seq+k)) AS name
+   FROM al a JOIN (VALUES (1),(2)) v(k) ON true LEFT JOIN sl s ON s.resort_id=a.resort_id AND s.p=a.op_seq
+   WHERE a.op='ADD_SEGMENTS' AND NOT EXISTS (SELECT 1 FROM rm WHERE rm.resort_id=a.resort_id AND rm.p=a.op_seq)
+  UNION ALL SELECT resort_id, 'slope', 'SL'||op_seq, 'Slope '||op_seq FROM sl
+  UNION ALL SELECT resort_id, 'lift', 'L'||op_seq, 'Lift '||op_seq FROM al WHERE op='ADD_LIFT'"""
+)
+
+
+def full_log(spark, sf):
+    """The edit log with what each operation works on: a finish and a removal refer to the entry before them."""
+    log = X.edit_log(spark, sf).select("resort_id", "op_seq", "op")
+    log = with_previous(number_rows(log, ["resort_id"], ["op_seq"], "_pos"), ["resort_id"], "_pos", {"op_seq": "_p"})
+    pair = lambda n: F.array(*[F.concat(F.lit("S"), 2 * n + k) for k in (1, 2)])
+    named = lambda prefix, n: F.concat(F.lit(prefix), n)
+    op, seq, before = c("op"), c("op_seq"), c("_p")
+    entity = (
+        F.when(op == "FINISH_SLOPE", named("SL", seq)).when(op == "ADD_LIFT", named("L", seq)).when(op == "DELETE_SLOPE", named("SL", before))
+    )
+    name = F.when(op == "FINISH_SLOPE", named("Slope ", seq)).when(op == "ADD_LIFT", named("Lift ", seq))
+    listed = F.when(op == "ADD_SEGMENTS", pair(seq)).when((op == "FINISH_SLOPE") & before.isNotNull(), pair(before))
+    return log.select("resort_id", "op_seq", "op", entity.alias("entity_id"), name.alias("name"), listed.alias("segment_ids"))
+
+
+@query("str7_current_tables", _CURRENT)
+def str7_tables(spark, sf):
+    """Segments, slopes and lifts of every resort after all edits and undos."""
+    segments, slopes, lifts = H.current_tables(full_log(spark, sf))
+    row = lambda df, kind, key: df.select("resort_id", F.lit(kind).alias("kind"), c(key).alias("id"), "name")
+    return row(segments, "segment", "segment_id").unionByName(row(slopes, "slope", "entity_id")).unionByName(row(lifts, "lift", "entity_id"))
+
+
 @query(
     "win10_undo_stack",
     _STR7 + "SELECT resort_id, len(arg_max(st,i)) AS depth, array_to_string(arg_max(st,i),',') AS stack FROM rp GROUP BY 1",

@@ -79,7 +79,7 @@ def join5(spark, sf):
 def join6(spark, sf):
     return (
         G.slope_members(X.slopes(spark, sf))
-        .join(facts(spark, sf).select("segment_id", "length_m"), "segment_id")
+        .join(facts(spark, sf).select("resort_id", "segment_id", "length_m"), ["resort_id", "segment_id"])
         .select("slope_id", "pos", "segment_id", r4("length_m").alias("length_m"))
     )
 
@@ -144,11 +144,11 @@ def join9(spark, sf):
 def val11(spark, sf):
     """Dangling references as a report."""
     seg = X.segments(spark, sf)
-    nodes = X.path_nodes(spark, sf).select("node_id")
-    lost = G.slope_members(X.slopes(spark, sf)).join(seg, "segment_id", "left_anti")
+    nodes = X.path_nodes(spark, sf).select("resort_id", "node_id")
+    lost = G.slope_members(X.slopes(spark, sf)).join(seg, ["resort_id", "segment_id"], "left_anti")
     a = lost.select(F.lit("slope_segment").alias("kind"), c("slope_id").alias("owner"), c("segment_id").alias("missing"))
-    ends = seg.select("segment_id", F.explode(F.array("start_node_id", "end_node_id")).alias("node_id"))
-    b = ends.join(nodes, "node_id", "left_anti").select(
+    ends = seg.select("resort_id", "segment_id", F.explode(F.array("start_node_id", "end_node_id")).alias("node_id"))
+    b = ends.join(nodes, ["resort_id", "node_id"], "left_anti").select(
         F.lit("segment_node").alias("kind"), c("segment_id").alias("owner"), c("node_id").alias("missing")
     )
     return a.unionByName(b)
@@ -162,6 +162,12 @@ SLOPE_STATS = {
 _SST = S.with_("seg", "slope_seg", **SLOPE_STATS)
 
 
+def resorts(spark, sf):
+    """Every resort that has a segment, a slope or a lift."""
+    lifts = X.table(spark, sf, "customer").select(X.resort_of(c("c_custkey")).alias("resort_id"))
+    return X.segments(spark, sf).select("resort_id").union(X.slopes(spark, sf).select("resort_id")).union(lifts).distinct()
+
+
 def stats(spark, sf):
     return G.slope_stats(X.slopes(spark, sf), facts(spark, sf))
 
@@ -229,21 +235,27 @@ def agg6(spark, sf):
     )
 
 
+_EVERY = S.with_("seg", "slope_seg", "slope", "lift", **SLOPE_STATS, ids="SELECT resort_id FROM seg UNION SELECT resort_id FROM slope UNION SELECT resort_id FROM lift")
+
+
 @query(
     "agg7_length_by_difficulty",
-    _SST + "SELECT resort_id, " + ",".join(f"round(sum(CASE WHEN difficulty='{d}' THEN length_m ELSE 0.0 END)/1000,4) AS {d}_km" for d in C.DIFFICULTIES) + " FROM sst GROUP BY 1",
+    _EVERY + "SELECT i.resort_id, " + ",".join(f"round(sum(CASE WHEN difficulty='{d}' THEN length_m ELSE 0.0 END)/1000,4) AS {d}_km" for d in C.DIFFICULTIES) + " FROM ids i LEFT JOIN sst ON sst.resort_id=i.resort_id GROUP BY 1",
 )
 def agg7(spark, sf):
     return (
-        stats(spark, sf)
+        resorts(spark, sf)
+        .join(stats(spark, sf), "resort_id", "left")
         .groupBy("resort_id")
         .agg(*[r4(F.sum(F.when(c("difficulty") == d, c("length_m")).otherwise(0.0)) / 1000).alias(f"{d}_km") for d in C.DIFFICULTIES])
     )
 
 
-@query("agg8_slope_sums", _SST + "SELECT resort_id, round(sum(drop_m),4) AS vertical_m, round(sum(length_m),4) AS length_m FROM sst GROUP BY 1")
+@query("agg8_slope_sums", _EVERY + "SELECT i.resort_id, round(coalesce(sum(drop_m),0.0),4) AS vertical_m, round(coalesce(sum(length_m),0.0),4) AS length_m FROM ids i LEFT JOIN sst ON sst.resort_id=i.resort_id GROUP BY 1")
 def agg8(spark, sf):
-    return stats(spark, sf).groupBy("resort_id").agg(r4(F.sum("drop_m")).alias("vertical_m"), r4(F.sum("length_m")).alias("length_m"))
+    total = lambda n: r4(F.coalesce(F.sum(n), F.lit(0.0)))
+    every = resorts(spark, sf).join(stats(spark, sf), "resort_id", "left")
+    return every.groupBy("resort_id").agg(total("drop_m").alias("vertical_m"), total("length_m").alias("length_m"))
 
 
 @query(
@@ -271,10 +283,11 @@ def agg9(spark, sf):
 def agg10(spark, sf):
     f, slopes = facts(spark, sf), X.slopes(spark, sf)
     g = G.slope_stats(slopes, f)
-    edge = lambda at, pt, out: slopes.select("slope_id", F.element_at("segment_ids", at).alias("segment_id")).join(
-        f.select("segment_id", c(f"{pt}.elevation").alias(out)), "segment_id"
+    both = ["resort_id", "slope_id"]
+    edge = lambda at, pt, out: slopes.select(*both, F.element_at("segment_ids", at).alias("segment_id")).join(
+        f.select("resort_id", "segment_id", c(f"{pt}.elevation").alias(out)), ["resort_id", "segment_id"]
     ).drop("segment_id")
-    j = g.join(edge(1, "first_pt", "top_elev"), "slope_id", "left").join(edge(-1, "last_pt", "bottom_elev"), "slope_id", "left")
+    j = g.join(edge(1, "first_pt", "top_elev"), both, "left").join(edge(-1, "last_pt", "bottom_elev"), both, "left")
     return j.select(
         "slope_id",
         r4(F.coalesce("top_elev", F.lit(0.0))).alias("top_elev"),
@@ -295,7 +308,7 @@ def agg10(spark, sf):
 def agg11(spark, sf):
     return (
         G.slope_members(X.slopes(spark, sf))
-        .join(facts(spark, sf).drop("resort_id"), "segment_id")
+        .join(facts(spark, sf), ["resort_id", "segment_id"])
         .select(
             "slope_id",
             (c("pos") + 1).alias("line"),
@@ -324,10 +337,10 @@ def agg13(spark, sf):
     + "SELECT s.slope_id, round((f.start_lon+e.end_lon)/2,7) AS mid_lon, round((f.start_lat+e.end_lat)/2,7) AS mid_lat, round(m.lon,6) AS mean_lon, round(m.lat,6) AS mean_lat FROM slope s LEFT JOIN seg f ON f.segment_id=s.segment_ids[1] LEFT JOIN seg e ON e.segment_id=s.segment_ids[-1] LEFT JOIN (SELECT slope_id, avg((start_lon+end_lon)/2) AS lon, avg((start_lat+end_lat)/2) AS lat FROM slope_seg ss JOIN seg g ON g.segment_id=ss.segment_id GROUP BY 1) m ON m.slope_id=s.slope_id",
 )
 def agg14(spark, sf):
-    listed = X.slopes(spark, sf).select("slope_id", F.posexplode("segment_ids").alias("pos", "segment_id"), (F.size("segment_ids") - 1).alias("last"))
-    j = listed.join(facts(spark, sf).select("segment_id", "first_pt", "last_pt"), "segment_id", "left")
+    listed = X.slopes(spark, sf).select("resort_id", "slope_id", F.posexplode("segment_ids").alias("pos", "segment_id"), (F.size("segment_ids") - 1).alias("last"))
+    j = listed.join(facts(spark, sf).select("resort_id", "segment_id", "first_pt", "last_pt"), ["resort_id", "segment_id"], "left")
     first, last = (F.max(F.when(c("pos") == p, c(pt))) for p, pt in ((F.lit(0), "first_pt"), (c("last"), "last_pt")))
-    g = j.groupBy("slope_id").agg(
+    g = j.groupBy("resort_id", "slope_id").agg(
         first.alias("a"),
         last.alias("b"),
         *[F.avg((c(f"first_pt.{k}") + c(f"last_pt.{k}")) / 2).alias(f"m_{k}") for k in ("lon", "lat")],
@@ -377,7 +390,7 @@ def agg18(spark, sf):
     SELECT *, {S.hav('pla','plo','lat','lon')} AS d FROM (SELECT *, lag(lat) OVER w AS pla, lag(lon) OVER w AS plo FROM jp WINDOW w AS (PARTITION BY slope_id ORDER BY i)))""",
 )
 def snk10_slope(spark, sf):
-    return P.with_distance(slope_points(spark, sf), "slope_id", "i").select(
+    return P.with_distance(slope_points(spark, sf), ["resort_id", "slope_id"], "i").select(
         "slope_id", "i", r4("cum_m").alias("x_m"), r4("elevation").alias("y_m")
     )
 
@@ -388,8 +401,8 @@ def snk10_slope(spark, sf):
     + f"SELECT slope_id, pos, round(sum(length_m) OVER (PARTITION BY slope_id ORDER BY pos),4) AS x_m, {S.case_map(C.SLOPE_COLORS,'difficulty')} AS color FROM slope_seg ss JOIN seg s ON s.segment_id=ss.segment_id",
 )
 def snk13(spark, sf):
-    parts = G.slope_members(X.slopes(spark, sf)).join(facts(spark, sf).select("segment_id", "length_m", "difficulty"), "segment_id")
-    return running_total(parts, ["slope_id"], "pos", {"x_m": c("length_m")}).select(
+    parts = G.slope_members(X.slopes(spark, sf)).join(facts(spark, sf).select("resort_id", "segment_id", "length_m", "difficulty"), ["resort_id", "segment_id"])
+    return running_total(parts, ["resort_id", "slope_id"], "pos", {"x_m": c("length_m")}).select(
         "slope_id", "pos", r4("x_m").alias("x_m"), terrain.slope_color(c("difficulty")).alias("color")
     )
 
@@ -406,12 +419,12 @@ _OPEN = "SELECT * FROM seg WHERE segment_id NOT IN (SELECT segment_id FROM slope
 def snk15(spark, sf):
     """Unfinished runs: segments joined without junction removal, colour from the largest average."""
     seg = X.segments(spark, sf).join(G.slope_members(X.slopes(spark, sf)), ["resort_id", "segment_id"], "left_anti")
-    line = G.joined_points(seg.select("path_id", c("seg_no").alias("pos"), "segment_id"), seg, "path_id", skip_junctions=False)
+    line = G.joined_points(seg.select("resort_id", "path_id", c("seg_no").alias("pos"), "segment_id"), seg, "path_id", skip_junctions=False)
     avg = paths.avg_slope_pct(paths.drop_m(c("points")), paths.length_m(c("points")))
-    color = seg.groupBy("path_id").agg(F.greatest(F.max(avg), F.lit(0.0)).alias("m"))
+    color = seg.groupBy("resort_id", "path_id").agg(F.greatest(F.max(avg), F.lit(0.0)).alias("m"))
     return (
-        P.with_distance(line, "path_id", "i")
-        .join(color, "path_id")
+        P.with_distance(line, ["resort_id", "path_id"], "i")
+        .join(color, ["resort_id", "path_id"])
         .select("path_id", "i", r4("cum_m").alias("x_m"), r4("elevation").alias("y_m"), terrain.slope_color(terrain.classify(c("m"))).alias("color"))
     )
 
@@ -422,7 +435,7 @@ def snk15(spark, sf):
 )
 def agg20(spark, sf):
     seg = facts(spark, sf).join(G.slope_members(X.slopes(spark, sf)), ["resort_id", "segment_id"], "left_anti")
-    g = seg.groupBy("path_id").agg(F.greatest(F.max("avg_slope_pct"), F.lit(0.0)).alias("m"))
+    g = seg.groupBy("resort_id", "path_id").agg(F.greatest(F.max("avg_slope_pct"), F.lit(0.0)).alias("m"))
     return g.select("path_id", r4("m").alias("max_avg_pct"), terrain.classify(c("m")).alias("difficulty"))
 
 
@@ -431,15 +444,14 @@ def agg20(spark, sf):
 
 @query(
     "snk2_save_gating",
-    S.with_("seg", "slope", "lift") + "SELECT resort_id, resort_id IN (SELECT resort_id FROM slope UNION SELECT resort_id FROM lift WHERE lift_no%8=1) AS can_save FROM (SELECT DISTINCT resort_id FROM seg)",
+    S.with_("seg", "slope", "lift") + "SELECT resort_id, resort_id IN (SELECT resort_id FROM slope UNION SELECT resort_id FROM lift WHERE lift_no%8=1) AS can_save FROM (SELECT resort_id FROM seg UNION SELECT resort_id FROM slope UNION SELECT resort_id FROM lift)",
 )
 def snk2(spark, sf):
-    """A resort can be exported when it has a slope or a lift."""
+    """A resort can be exported when it has a slope or a lift; seven of eight lifts count as removed here."""
     some = X.slopes(spark, sf).select("resort_id").union(
         X.table(spark, sf, "customer").where(c("c_custkey") % 8 == 1).select(X.resort_of(c("c_custkey")).alias("resort_id"))
     )
-    base = X.segments(spark, sf).select("resort_id").distinct()
-    return base.join(some.distinct().withColumn("can_save", F.lit(True)), "resort_id", "left").select(
+    return resorts(spark, sf).join(some.distinct().withColumn("can_save", F.lit(True)), "resort_id", "left").select(
         "resort_id", F.coalesce("can_save", F.lit(False)).alias("can_save")
     )
 
@@ -457,7 +469,9 @@ _RGB = {d: "[" + ",".join(map(str, v[:3])) + "," for d, v in C.SLOPE_RGBA.items(
 def snk3(spark, sf):
     """Segment features: parent slope decides the class, highlighted ones (every tenth) are more opaque."""
     f, slopes = facts(spark, sf), X.slopes(spark, sf)
-    owned = G.segment_parent(f, slopes).join(G.slope_stats(slopes, f).select("slope_id", c("difficulty").alias("_d")), "slope_id", "left")
+    owned = G.segment_parent(f, slopes).join(
+        G.slope_stats(slopes, f).select("resort_id", "slope_id", c("difficulty").alias("_d")), ["resort_id", "slope_id"], "left"
+    )
     shown = F.coalesce("_d", "difficulty")
     rgb = F.slice(terrain.lookup(C.SLOPE_RGBA, shown), 1, 3)
     alpha = F.when((c("path_id") * 8 + c("seg_no") + 1) % 10 == 0, 180).otherwise(100)
@@ -562,8 +576,8 @@ def set4(spark, sf):
     S.with_("seg", "slope_seg") + "SELECT resort_id, count(*) AS n_segments, sum(CASE WHEN segment_id IN (SELECT segment_id FROM slope_seg) THEN 1 ELSE 0 END) AS n_finished FROM seg GROUP BY 1",
 )
 def set5(spark, sf):
-    done = G.slope_members(X.slopes(spark, sf)).select("segment_id").distinct().withColumn("done", F.lit(True))
-    j = X.segments(spark, sf).select("resort_id", "segment_id").join(done, "segment_id", "left")
+    done = G.slope_members(X.slopes(spark, sf)).select("resort_id", "segment_id").distinct().withColumn("done", F.lit(True))
+    j = X.segments(spark, sf).select("resort_id", "segment_id").join(done, ["resort_id", "segment_id"], "left")
     return j.groupBy("resort_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count("done").alias("n_finished"))
 
 

@@ -115,13 +115,13 @@ def gen7(spark, sf):
 @query("gen8_least_cost_path")
 def gen8(spark, sf):
     """Cost and hops per request and grade; optimality is tested against brute force."""
-    p = R.least_cost_paths(ready(spark, sf), *world(spark, sf))
+    p = R.least_cost_paths(ready(spark, sf), *world(spark, sf)).where(c("reason").isNull())
     return p.select("request_id", "target_slope_pct", r4("cost").alias("cost"), F.size("rows").alias("n_nodes"))
 
 
 @query("gen9_path_points")
 def gen9(spark, sf):
-    p = R.least_cost_paths(ready(spark, sf), *world(spark, sf))
+    p = R.least_cost_paths(ready(spark, sf), *world(spark, sf)).where(c("reason").isNull())
     p = p.select("request_id", "target_slope_pct", F.posexplode(R.path_points()).alias("i", "p"))
     return p.select("request_id", "target_slope_pct", "i", "p.lon", "p.lat", "p.elevation")
 
@@ -138,6 +138,23 @@ def gen11(spark, sf):
     return p.select("request_id", "ord", "sector_name", r4("avg_slope_pct").alias("avg_slope_pct"), r4("cost").alias("cost"))
 
 
+@query(
+    "gen11_refused",
+    _G
+    + """SELECT request_id, CASE WHEN za IS NULL OR zb IS NULL THEN 'no elevation at start or target' WHEN za<=zb THEN 'target is not below the start' WHEN d<30 THEN 'target is too close' ELSE 'elevation missing in the search grid' END AS reason
+    FROM rq WHERE za IS NULL OR zb IS NULL OR za<=zb OR d<30 OR request_id IN (SELECT request_id FROM gz WHERE elevation IS NULL)""",
+)
+def gen11_refused(spark, sf):
+    """Requests without a plan and why; every other request is in ``gen11_plan``."""
+    return R.plan_or_refuse(X.targets(spark, sf), *world(spark, sf))[1].select("request_id", "reason")
+
+
+@query("gen6_truncated_grids", _G + "SELECT request_id, cast(trunc(d*2.0/15.0) as bigint)+1>100 AS truncated FROM rq1")
+def gen6_truncated(spark, sf):
+    """Requests whose search square reached its greatest size."""
+    return ready(spark, sf).select("request_id", R.grid_truncated().alias("truncated"))
+
+
 _SIM = """sim AS (SELECT a.request_id, a.ord AS a, b.ord AS b FROM fan a JOIN fan b ON a.request_id=b.request_id AND a.ord<b.ord WHERE (
    SELECT avg(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) FROM (VALUES (0.1::double),(0.2::double),(0.3::double),(0.4::double),(0.5::double),(0.6::double),(0.7::double),(0.8::double),(0.9::double)) t(pc)
    JOIN tr p ON p.id=a.tid AND p.step=trunc(pc*(a.n-1)) JOIN tr q ON q.id=b.tid AND q.step=trunc(pc*(b.n-1)))<1e-8)"""

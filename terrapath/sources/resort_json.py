@@ -42,6 +42,16 @@ def parse_documents(texts: DataFrame, key: str = "resort_id", text: str = "text"
     return texts.select(key, F.from_json(text, DOCUMENT).alias("d")).select(key, "d.*")
 
 
+def bad_documents(documents: DataFrame, key: str = "resort_id") -> DataFrame:
+    """Documents that give no rows, with a reason: unreadable text, or mandatory maps that are absent."""
+    absent = F.filter(
+        F.array(*[F.when(F.col(p).isNull(), F.lit(p)) for p in (*PARTS, "counters")]), lambda p: p.isNotNull()
+    )
+    unread = F.size(absent) == len(PARTS) + 1
+    reason = F.when(unread, F.lit("not a resort document")).otherwise(F.concat(F.lit("missing: "), F.array_join(absent, ", ")))
+    return documents.where(F.size(absent) > 0).select(key, reason.alias("reason"))
+
+
 def load_part(documents: DataFrame, part: str, key: str = "resort_id") -> tuple[DataFrame, DataFrame]:
     """Entities of one part: (rows, rejected rows with a missing mandatory field)."""
     rows = documents.select(key, F.explode(part).alias("_id", "e")).select(key, "e.*")

@@ -33,11 +33,12 @@ ACCEPTED = "session_id bigint, event_id bigint, accepted boolean"
 STATE = "x double, y double, obj string, ms bigint"
 
 
-def debounce_stream(clicks: DataFrame, wait_ms: int = C.DEBOUNCE_MS, ttl: str = "1 hour") -> DataFrame:
+def debounce_stream(clicks: DataFrame, wait_ms: int = C.DEBOUNCE_MS, ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Streaming debounce: per session only the last accepted click is kept as state.
 
     ``clicks``: session_id, event_id, ts (event time), ms, x, y, obj.  State expires when the
-    watermark passes the last event by ``ttl``.
+    watermark passes the last event by ``ttl``; clicks that come more than ``late`` after a newer one are dropped
+    by the stream.
     """
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
@@ -64,7 +65,7 @@ def debounce_stream(clicks: DataFrame, wait_ms: int = C.DEBOUNCE_MS, ttl: str =
         yield pd.DataFrame(out, columns=["session_id", "event_id", "accepted"])
 
     return (
-        clicks.withWatermark("ts", "10 minutes")
+        clicks.withWatermark("ts", late)
         .groupBy("session_id")
         .applyInPandasWithState(step, ACCEPTED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
