@@ -36,6 +36,14 @@ class Settings:
 
 def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, and (bucket, word number) of its character n-grams, in word order."""
+    parts = [_some_features(words[i : i + CHUNK], buckets) for i in range(0, len(words), CHUNK)]
+    if not parts:
+        return (np.zeros(0, np.int32),) * 3
+    own, grams, owners = zip(*parts, strict=True)
+    return np.concatenate(own), np.concatenate(grams), np.concatenate([o + np.int32(i * CHUNK) for i, o in enumerate(owners)])
+
+
+def _some_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points, starts = join_words(words)
     grams = [ngram_hashes(points, starts, n) for n in NGRAMS]
     hashes, owners = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
@@ -44,7 +52,7 @@ def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
     h = (h ^ (h >> np.uint64(32))) * (np.arange(len(points), dtype=np.uint64) - np.repeat(starts[:-1], np.diff(starts)).astype(np.uint64) + np.uint64(3))
     whole = np.add.reduceat(h, starts[:-1]) * np.uint64(0xC2B2AE3D27D4EB4F)
     shift = np.uint64(64 - buckets.bit_length() + 1)
-    return (whole >> shift).astype(np.int64), (hashes[order] >> shift).astype(np.int64), owners[order]
+    return (whole >> shift).astype(np.int32), (hashes[order] >> shift).astype(np.int32), owners[order].astype(np.int32)
 
 
 def embed(model: dict, words: list[str]) -> np.ndarray:
@@ -165,12 +173,14 @@ def train(rows: list[tuple[str, int]], settings: Settings = Settings()) -> dict:
     learned from (multiple instances).  Embeddings start with the log-odds of their feature.
     """
     s, rng = settings, np.random.default_rng(settings.seed)
-    vocabulary = WordRows(lambda new: np.zeros((len(new), 1), np.float32), limit=1 << 60)
-    words_of = [WORD.findall(text.lower()) for text, _ in rows]
+    vocabulary: dict[str, int] = {}
     label = np.array([y for _, y in rows], np.float32)
-    flat, counts, first = _flat(words_of, vocabulary)
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(text.lower())], np.int32) for text, _ in rows]
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, first = np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum(counts) - counts
     names = list(vocabulary)
-    own, grams, owners = word_features(names, s.buckets) if names else (np.zeros(0, np.int64),) * 3
+    own, grams, owners = word_features(names, s.buckets)
+    reach = np.searchsorted(owners, np.arange(len(names) + 1))
     share = np.sqrt(np.bincount(owners, minlength=len(names))).astype(np.float32)
 
     model = {k: (rng.standard_normal((s.buckets, s.embed)) * 0.05).astype(np.float32) for k in ("word", "char")}
@@ -205,8 +215,9 @@ def train(rows: list[tuple[str, int]], settings: Settings = Settings()) -> dict:
             ids, mask = window_ids(flat, begin[part], left[part], s.window)
             known, ids = np.unique(ids, return_inverse=True)
             ids = ids.reshape(len(part), s.window)
-            chosen = np.isin(owners, known)
-            renamed = np.searchsorted(known, owners[chosen])
+            many = reach[known + 1] - reach[known]
+            chosen = np.repeat(reach[known] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            renamed = np.repeat(np.arange(len(known)), many)
             x = _embed_known(model, own[known], grams[chosen], renamed, share[known])
             trace: dict = {}
             z = forward(model, gate_inputs(model, x), ids, mask, trace)
