@@ -142,33 +142,63 @@ def src4_bad(spark, sf):
 
 def document_fragments(spark, sf):
     seg, slopes = X.segments(spark, sf), X.slopes(spark, sf)
-    nodes = X.path_nodes(spark, sf)
+    nodes, lifts = X.nodes(spark, sf), full_lifts(spark, sf)
     num = lambda col, kind: F.substring(col, len(C.ID_PREFIX[kind]) + 1, 20).cast("long")
     parts = {
         "nodes": nodes.select("resort_id", c("node_ord").alias("item"), F.struct(c("node_id").alias("id"), X.point().alias("location")).alias("entity")),
         "segments": seg.select("resort_id", num("segment_id", "segment").alias("item"), F.struct(c("segment_id").alias("id"), "name", "points", "start_node_id", "end_node_id", "side_slope_pct", "side_slope_dir").alias("entity")),
         "slopes": slopes.select("resort_id", num("slope_id", "slope").alias("item"), F.struct(c("slope_id").alias("id"), "name", "segment_ids", "start_node_id", "end_node_id").alias("entity")),
+        "lifts": lifts.select("resort_id", (c("lift_no") + 1).alias("item"), F.struct(c("lift_id").alias("id"), "name", "start_node_id", "end_node_id", "lift_type", "terrain_points", "pylons", "cable_points").alias("entity")),
     }
     top = lambda df, n: df.groupBy("resort_id").agg(F.max("item").cast("int").alias(n))
     counters = top(parts["nodes"], "node").join(top(parts["segments"], "segment"), "resort_id", "left").join(top(parts["slopes"], "slope"), "resort_id", "left")
+    # the lift number is in its row: no lift is built to count it
+    last_lift = X.table(spark, sf, "customer").groupBy(X.resort_of(c("c_custkey")).alias("resort_id")).agg((F.max("c_custkey") + 1).cast("int").alias("lift"))
+    counters = counters.join(last_lift, "resort_id", "left")
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    counters = counters.select("resort_id", F.struct(zero("node"), zero("segment"), zero("slope"), F.lit(0).alias("lift")).alias("counters"))
+    counters = counters.select("resort_id", F.struct(zero("node"), zero("segment"), zero("slope"), zero("lift")).alias("counters"))
     return J.fragments(parts, counters)
 
 
 @query(
     "src5_document_fragments",
-    S.with_("seg", "slope", "pnode", ns="SELECT resort_id, max(node_ord) AS a FROM pnode GROUP BY 1", gs="SELECT resort_id, max(n) AS a FROM seg GROUP BY 1", ss="SELECT resort_id, max(path_id+1) AS a FROM slope GROUP BY 1",
+    S.with_("seg", "slope", "node", "lift", ns="SELECT resort_id, max(node_ord) AS a FROM node GROUP BY 1", ls="SELECT resort_id, max(lift_no+1) AS a FROM lift GROUP BY 1", gs="SELECT resort_id, max(n) AS a FROM seg GROUP BY 1", ss="SELECT resort_id, max(path_id+1) AS a FROM slope GROUP BY 1",
     sq="SELECT resort_id, path_id+1 AS item, CASE WHEN row_number() OVER (PARTITION BY resort_id ORDER BY path_id)=1 THEN '' ELSE ',' END||'\"'||slope_id||'\":{\"id\":\"'||slope_id||'\",\"name\":\"'||name||'\",\"segment_ids\":[\"'||array_to_string(segment_ids,'\",\"')||'\"],\"start_node_id\":\"'||start_node_id||'\",\"end_node_id\":\"'||end_node_id||'\"}' AS text FROM slope")
     + """SELECT resort_id, 5 AS part, item, text FROM sq
     UNION ALL SELECT ns.resort_id, p, 0, t FROM ns, (VALUES (0,'{"version":"2.0","nodes":{'),(2,'},"segments":{'),(4,'},"slopes":{'),(6,'},"lifts":{')) h(p,t)
-    UNION ALL SELECT ns.resort_id, 8, 0, '},"counters":{"node":'||ns.a||',"segment":'||coalesce(gs.a,0)||',"slope":'||coalesce(ss.a,0)||',"lift":0}}' FROM ns LEFT JOIN gs ON gs.resort_id=ns.resort_id LEFT JOIN ss ON ss.resort_id=ns.resort_id
-    UNION ALL SELECT resort_id, 1, node_ord, NULL FROM pnode UNION ALL SELECT resort_id, 3, n, NULL FROM seg""",
+    UNION ALL SELECT ns.resort_id, 8, 0, '},"counters":{"node":'||ns.a||',"segment":'||coalesce(gs.a,0)||',"slope":'||coalesce(ss.a,0)||',"lift":'||coalesce(ls.a,0)||'}}' FROM ns LEFT JOIN gs ON gs.resort_id=ns.resort_id LEFT JOIN ss ON ss.resort_id=ns.resort_id LEFT JOIN ls ON ls.resort_id=ns.resort_id
+    UNION ALL SELECT resort_id, 1, node_ord, NULL FROM node UNION ALL SELECT resort_id, 3, n, NULL FROM seg UNION ALL SELECT resort_id, 7, lift_no+1, NULL FROM lift""",
 )
 def src5(spark, sf):
-    """Document fragments; the numeric text of nodes and segments is left out of the comparison."""
+    """Document fragments; ``src5_fragment_content`` compares the text of nodes, segments and lifts, which hold doubles."""
     f = document_fragments(spark, sf)
-    return f.withColumn("text", F.when(~c("part").isin(1, 3), c("text")))
+    return f.withColumn("text", F.when(~c("part").isin(1, 3, 7), c("text")))
+
+
+@query(
+    "src5_fragment_content",
+    S.with_("seg", "seg_pts", "node", "lift", recursive=True, **TERRAIN,
+    sp="SELECT n, count(*) AS k, sum(lon) AS x, sum(elevation) AS z FROM seg_pts GROUP BY 1",
+    tp="SELECT lift_id, count(*) AS k, sum(lon) AS x, sum(z) AS z FROM ter GROUP BY 1")
+    + f"""SELECT resort_id, 1 AS part, node_id AS id, NULL AS name, 1 AS n_points, round(lon,5) AS sum_lon, round(elevation,3) AS sum_elevation FROM node
+    UNION ALL SELECT resort_id, 3, segment_id, 'Segment '||s.n, k, round(x,5), round(z,3) FROM seg s JOIN sp ON sp.n=s.n
+    UNION ALL SELECT l.resort_id, 7, l.lift_id, {_NAME_L}, k, round(x,5), round(z,3) FROM (SELECT *, lift_no+1 AS num, lift_type AS t, d AS len, end_elevation-start_elevation AS rise, {S.brg('end_lon','end_lat','start_lon','start_lat')} AS b FROM l2) l JOIN tp ON tp.lift_id=l.lift_id""",
+)
+def src5_content(spark, sf):
+    """Fragments of nodes, segments and lifts, read back from their text."""
+    f = document_fragments(spark, sf)
+    out = None
+    for part, kind, points in ((1, J.NODE, F.array("e.location")), (3, J.SEGMENT, c("e.points")), (7, J.LIFT, c("e.terrain_points"))):
+        body = F.concat(F.lit("{"), F.regexp_replace("text", "^,", ""), F.lit("}"))
+        e = f.where(c("part") == part).select("resort_id", "part", F.explode(F.from_json(body, f"map<string,{kind}>")).alias("id", "e"))
+        total = lambda p, n: F.aggregate(p, F.lit(0.0), lambda a, q: a + q[n])
+        name = F.lit(None).cast("string") if part == 1 else c("e.name")
+        rows = e.select(
+            "resort_id", "part", c("e.id").alias("id"), name.alias("name"), F.size(points).alias("n_points"),
+            F.round(total(points, "lon"), 5).alias("sum_lon"), F.round(total(points, "elevation"), 3).alias("sum_elevation"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---------------------------------------------------------------- GPX
