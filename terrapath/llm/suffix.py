@@ -201,16 +201,17 @@ def _cutter(length: int):
         import pyarrow as pa
 
         for batch in text_batches(batches, max_chars=SLICE):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for rid, text, marks in zip(*[batch.column(c).to_pylist() for c in ("rid", "text", "marks")], strict=True):
                 body = text.encode("utf-8", "surrogatepass")
                 for mark in marks:
                     place, most, least = unpack(mark["packed"])
-                    row = (mark["gram"], rid, mark["packed"], body[place - most : place], body[place : place - least + length])
+                    row = (mark["gram"], rid, mark["packed"], mark["crowded"], body[place - most : place], body[place : place - least + length])
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "rid", "packed", "before", "rest"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            names = ["gram", "rid", "packed", "crowded", "before", "rest"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
 
@@ -341,18 +342,19 @@ def repeated_ranges(docs: DataFrame, length: int = 200, doc_id: str = "doc_id",
     copied = parted.join(contexts.where("copies > 1").select("gram", "cover"), ["gram", "cover"], "left_semi")
     out = met.where("whole").select("rid", *_range(length)).unionByName(copied.select("rid", *_range(length)))
 
-    def cut(some: DataFrame) -> DataFrame:
-        lists = some.groupBy("rid").agg(F.collect_set(F.struct("packed", "gram")).alias("marks"))
-        return rows.join(lists, "rid").select("rid", "text", "marks").mapInArrow(_cutter(length), "gram bigint, rid bigint, packed bigint, before binary, rest binary")
-
-    sorted_ = cut(contexts.where(F.col("n") <= crowd)).repartition("gram").sortWithinPartitions("gram", "rest")
+    marked = F.struct("packed", "gram", (F.col("n") > crowd).alias("crowded"))
+    lists = contexts.groupBy("rid").agg(F.collect_set(marked).alias("marks"))
+    bodies = rows.join(lists, "rid").select("rid", "text", "marks").mapInArrow(
+        _cutter(length), "gram bigint, rid bigint, packed bigint, crowded boolean, before binary, rest binary"
+    )
+    bodies = store(bodies)  # read by both ways below; the texts are dealt once
+    few = bodies.where("NOT crowded").select("gram", "rid", "packed", "before", "rest")
+    sorted_ = few.repartition("gram").sortWithinPartitions("gram", "rest")
     out = out.unionByName(sorted_.mapInArrow(_inducer(length), "rid bigint, begin bigint, end bigint"))
-    many = contexts.where(F.col("n") > crowd)
-    if many.limit(1).count():
-        strings = store(cut(many).mapInArrow(_strings(length), "string binary, rid bigint, begin bigint, end bigint"))
-        twice = strings.groupBy("string").count().where("count > 1").select("string")
-        out = out.unionByName(strings.join(twice, "string", "left_semi").select("rid", "begin", "end"))
-    return out
+    many = bodies.where("crowded").select("rid", "packed", "before", "rest")
+    strings = store(many.mapInArrow(_strings(length), "string binary, rid bigint, begin bigint, end bigint"))
+    twice = strings.groupBy("string").count().where("count > 1").select("string")
+    return out.unionByName(strings.join(twice, "string", "left_semi").select("rid", "begin", "end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
