@@ -193,10 +193,16 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> dict:
 
 
 def sample_labelled(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """Texts and languages to learn from: about ``sample`` rows of each language, picked by a hash of the key."""
+    """Texts and languages to learn from: about ``sample`` rows of each language, picked by a hash of the key.
+
+    The languages are few (the model has a column for each), so their counts go to the driver and come back as
+    constants: no text is moved.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(lang).count().select(F.col(lang).alias("_lang"), F.least(F.lit(1.0), F.lit(float(settings.sample)) / F.col("count")).alias("_chance"))
-    taken = known.join(sizes, F.col(lang) == F.col("_lang")).where(hash60(F.lit(settings.seed), F.col(key)) < F.col("_chance") * F.lit(float(1 << 60)))
+    chance = F.lit(0.0)
+    for name, n in sorted(tuple(r) for r in known.groupBy(lang).count().collect()):
+        chance = F.when(F.col(lang) == name, F.lit(min(1.0, settings.sample / n))).otherwise(chance)
+    taken = known.where(hash60(F.lit(settings.seed), F.col(key)) < chance * F.lit(float(1 << 60)))
     return sorted((r[0], r[1]) for r in taken.select(text, lang).collect())
 
 
