@@ -202,11 +202,11 @@ def find_items(docs: DataFrame, items: DataFrame, settings: Settings = Settings(
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item bigint, begin bigint, end bigint, edits bigint"
     found = None
     for b in sorted(tuple(r) for r in blocks.select("_hash", "_shelf").distinct().collect()):
-        rows = blocks.where((F.col("_hash") == b[0]) & (F.col("_shelf") == b[1])).orderBy("item_id").select("text").collect()
-        shared = spark.sparkContext.broadcast(Index([fold(r[0]) for r in rows], settings.rate))
         names = blocks.where((F.col("_hash") == b[0]) & (F.col("_shelf") == b[1])).withColumn(
-            "item", F.row_number().over(W.orderBy("item_id")).cast("long") - 1
+            "item", F.row_number().over(W.orderBy("item_id", "text")).cast("long") - 1
         )
+        rows = sorted(names.select("item", "text").collect())
+        shared = spark.sparkContext.broadcast(Index([fold(r.text) for r in rows], settings.rate))
         hits = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_searcher(shared), schema)
         named = hits.join(F.broadcast(names.select("item", "item_id", "item_ids")), "item")
         found = named if found is None else found.unionByName(named)
