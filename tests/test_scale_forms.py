@@ -129,7 +129,8 @@ def test_snapping_is_sequential(spark):
         want.append((r, i, nodes[near[0][1]][0] if near else nodes[-1][0], not near))
     df = spark.createDataFrame(pts, "resort_id int, o bigint, lon double, lat double, elevation double")
     ex = spark.createDataFrame(old, "resort_id int, node_id string, node_ord bigint, lon double, lat double, elevation double")
-    got = snap_sequence(df, "resort_id", "o", ex, counter=2)
+    used = spark.createDataFrame([(1, 2)], "resort_id int, used bigint")
+    got = snap_sequence(df, "resort_id", "o", ex, used)
     assert rows(got) == sorted(want)
 
 
