@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapath.llm import decontaminate, mixing, queries, sharding, simhash, toxicity
+from terrapath.llm import decontaminate, mixing, near_copies, queries, sharding, toxicity
 from terrapath.llm.common import store, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """The document with the smallest id of every group of near copies: five words, similarity 0.8 or more."""
+    return near_copies.one_of_each(docs).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
