@@ -14,8 +14,8 @@ from terrapath.llm.common import keep, text_batches
 
 #: Bytes of a q-gram; two 8-byte words, overlapping by 4, make one.
 Q = 12
-#: White space counts as a blank and A-Z as a-z; lengths stay, so positions are those of the text's UTF-8 bytes.
-FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+#: ASCII white space counts as a blank.
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 FILTER_BITS = 21
 #: Bit of a region's score that counts edits; the bits below carry the region's start.
 EDIT = np.int64(1 << 32)
@@ -30,7 +30,29 @@ class Settings:
 
 
 def fold(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass").translate(FOLD)
+    """UTF-8 bytes of the text without case, in all scripts: a passage in capitals equals its item."""
+    return text.casefold().encode("utf-8", "surrogatepass").translate(BLANKS)
+
+
+def unfold(text: str, begin: int, end: int) -> tuple[int, int]:
+    """Bytes of ``text`` that became the bytes [begin, end) of ``fold(text)``; a letter that changed its length is taken whole."""
+    if text.isascii():
+        return begin, end
+    sizes, folded = (np.array([len(c.encode("utf-8", "surrogatepass")) for c in x], np.int64) for x in (text, map(str.casefold, text)))
+    if (sizes == folded).all():
+        return begin, end
+    at, to = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, folded))
+
+    def place(byte: int, last: bool) -> int:
+        k = int(np.searchsorted(to, byte, side="right")) - 1
+        inside = byte - to[k]
+        if not inside:
+            return int(at[k])
+        if sizes[k] == folded[k]:
+            return int(at[k] + inside)
+        return int(at[k + 1] if last else at[k])
+
+    return place(begin, False), place(end, True)
 
 
 def qgrams(data: bytes) -> np.ndarray:
@@ -174,18 +196,18 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int
             pair = (int(doc[k]), int(item[k]))
             hit = (int(edits[k]), int(begin[k] - low[k]), int(end[k] - low[k]))
             found[pair] = min(found.get(pair, hit), hit)
-    return [(n, i, begin, end, e) for (n, i), (e, begin, end) in sorted(found.items())]
+    return [(n, i, *unfold(texts[n], begin, end), e) for (n, i), (e, begin, end) in sorted(found.items())]
 
 
 def find_items(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that hold a benchmark item up to ``rate`` edits per byte.
 
     One row per document row and different item text: ``doc_id, item_id`` (the smallest of equal
-    texts), ``item_ids`` (all of them), ``begin, end`` (bytes of the text), ``edits``.
+    texts), ``item_ids`` (all of them), ``begin, end`` (bytes of the text), ``edits`` (bytes, case folded).
 
     Items are handed to the tasks in blocks of at most ``block_bytes`` (an item larger
     than that is a block of its own), and every block passes over all documents, so the
-    size of what is broadcast is bounded and no pairs are shuffled.  Case (A-Z) and the
+    size of what is broadcast is bounded and no pairs are shuffled.  Case (in all scripts) and the
     kind of white space don't count.  Null or empty documents hold nothing; null or
     empty items are in no document.  Repeated document rows are all reported; equal item
     texts are searched once.  Other columns of the inputs are not used.
