@@ -18,16 +18,16 @@ from terrapath.llm.words import WordRows
 UNKNOWN = "und"
 #: Only letters are read; a run of them is a word.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words are scored in stretches of so many letters, which keeps sums of products within range.
-STRETCH = 40
+#: Products over words of so many letters stay in range, all letters outside the vocabulary included; longer words are summed as logarithms.
+SHORT = 30
 #: Marks the begin of a word, as in the vocabulary.
 MARK = "▁"
 #: Probability of one letter as a piece outside the vocabulary, in every language.
 STRANGE = 1e-9
 #: Bits of the table that most substrings outside the vocabulary fail.
 FILTER_BITS = 20
-#: Words segmented side by side; bounds memory only.
-CHUNK = 20_000
+#: Words segmented side by side, and letters of long ones; bound memory only.
+CHUNK, LETTERS_AT_ONCE = 20_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,28 @@ def forward(edges: tuple, words: int, chance: np.ndarray, letters: int) -> np.nd
     return mass
 
 
+def _log_forward(edges: tuple, words: int, log_chance: np.ndarray, letters: int) -> np.ndarray:
+    """Logarithms of ``forward``, for words of any length."""
+    source, target, piece, borders, first = edges
+    mass = np.full((letters + 2 * words, log_chance.shape[1]), -np.inf)
+    mass[first] = 0.0
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        if b > a:
+            begin = np.flatnonzero(np.diff(target[a:b], prepend=-1))
+            mass[target[a:b][begin]] = np.logaddexp.reduceat(mass[source[a:b]] + log_chance[piece[a:b]], begin, axis=0)
+    return mass
+
+
+def _log_backward(edges: tuple, last: np.ndarray, mass: np.ndarray, log_chance: np.ndarray) -> np.ndarray:
+    source, target, piece, borders, _ = edges
+    rest = np.full_like(mass, -np.inf)
+    rest[last] = 0.0
+    for a, b in zip(borders[-2::-1], borders[:0:-1], strict=True):
+        if b > a:
+            np.logaddexp.at(rest, source[a:b], rest[target[a:b]] + log_chance[piece[a:b]])
+    return rest
+
+
 def _backward(edges: tuple, last: np.ndarray, mass: np.ndarray, chance: np.ndarray) -> np.ndarray:
     source, target, piece, borders, _ = edges
     rest = np.zeros_like(mass)
@@ -141,22 +163,35 @@ def _nodes(words: list[str], edges: tuple) -> tuple[int, np.ndarray]:
     return int(sizes.sum()), edges[4] + sizes + 1
 
 
-def _stretches(word: str) -> list[str]:
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
+def _chunks(words: list[str]) -> Iterator[tuple[list[int], bool]]:
+    """Numbers of words to be segmented side by side, and whether they are long."""
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+    for i in range(0, len(short), CHUNK):
+        yield short[i : i + CHUNK], False
+    some: list[int] = []
+    letters = 0
+    for i in sorted((i for i, w in enumerate(words) if len(w) > SHORT), key=lambda i: len(words[i])):
+        if some and letters + len(words[i]) > LETTERS_AT_ONCE:
+            yield some, True
+            some, letters = [], 0
+        some.append(i)
+        letters += len(words[i])
+    if some:
+        yield some, True
 
 
 def log_likelihoods(lattice: Lattice, chance: np.ndarray, words: list[str]) -> np.ndarray:
     """Log of the summed probability of all segmentations of each word, in every language."""
-    parts = [_stretches(w) for w in words]
-    flat = [p for ps in parts for p in ps]
-    out = np.zeros((len(flat), chance.shape[1]))
-    for i in range(0, len(flat), CHUNK):
-        some = flat[i : i + CHUNK]
+    out = np.zeros((len(words), chance.shape[1]))
+    for numbers, long in _chunks(words):
+        some = [words[i] for i in numbers]
         edges = lattice.edges(some)
         letters, last = _nodes(some, edges)
-        out[i : i + CHUNK] = np.log(forward(edges, len(some), chance, letters)[last])
-    begin = np.cumsum([0, *map(len, parts[:-1])])
-    return np.add.reduceat(out, begin, axis=0) if words else np.zeros((0, chance.shape[1]))
+        if long:
+            out[numbers] = _log_forward(edges, len(some), np.log(chance), letters)[last]
+        else:
+            out[numbers] = np.log(forward(edges, len(some), chance, letters)[last])
+    return out
 
 
 def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> dict:
@@ -169,23 +204,33 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> dict:
     languages = sorted({lang for _, lang in rows})
     counts: dict[str, Counter] = {lang: Counter() for lang in languages}
     for text, lang in rows:
-        counts[lang].update(part for word in LETTERS.findall(text.lower()) for part in _stretches(word))
+        counts[lang].update(LETTERS.findall(text.lower()))
     words = sorted(set().union(*counts.values())) if languages else []
     weight = np.array([[counts[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
     chance = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
     chance[-1] = STRANGE
     for _ in range(settings.rounds):
         used = np.zeros((len(pieces) + 1, len(languages)))
-        for i in range(0, len(words), CHUNK):
-            some = words[i : i + CHUNK]
+        for numbers, long in _chunks(words):
+            some = [words[i] for i in numbers]
             edges = lattice.edges(some)
             letters, last = _nodes(some, edges)
-            mass = forward(edges, len(some), chance, letters)
-            rest = _backward(edges, last, mass, chance)
-            share = np.repeat(weight[i : i + CHUNK] / mass[last], np.diff(np.append(edges[4], len(mass))), axis=0)
             source, target, piece = edges[:3]
+            sizes = np.diff(np.append(edges[4], letters + 2 * len(some)))
+            if long:
+                log_chance = np.log(chance)
+                mass = _log_forward(edges, len(some), log_chance, letters)
+                rest = _log_backward(edges, last, mass, log_chance)
+                whole, share = np.repeat(mass[last], sizes, axis=0), np.repeat(weight[numbers], sizes, axis=0)
+            else:
+                mass = forward(edges, len(some), chance, letters)
+                rest = _backward(edges, last, mass, chance)
+                share = np.repeat(weight[numbers] / mass[last], sizes, axis=0)
             for n in range(len(languages)):
-                value = mass[source, n] * chance[piece, n] * rest[target, n] * share[source, n]
+                if long:
+                    value = np.exp(mass[source, n] + log_chance[piece, n] + rest[target, n] - whole[source, n]) * share[source, n]
+                else:
+                    value = mass[source, n] * chance[piece, n] * rest[target, n] * share[source, n]
                 used[:, n] += np.bincount(piece, weights=value, minlength=len(pieces) + 1)
         seen = used[:-1] + settings.smoothing
         chance[:-1] = seen / seen.sum(axis=0)
