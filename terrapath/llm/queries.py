@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapath.llm import chaining, decontaminate, language, mixing, sharding, simhash, sketch, suffix, toxicity, url_filter
+from terrapath.llm import chaining, chat_tree, decontaminate, divergence, infill, language, mixing, sharding, simhash, sketch, suffix, toxicity, url_filter
 from terrapath.llm.common import table
 
 #: Rules of the URL query: host, path, action.
@@ -86,6 +86,22 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = ", ".join(f"(-7L, {i}L, '{role}', '</s>[INST] ok [/INST]')" for i, role in enumerate(("user", "assistant")))
+    own = spark.sql(f"SELECT * FROM VALUES {rows} AS chat(conv_id, turn, role, text)")
+    return chat_tree.read_back(chat_tree.build(chats.unionByName(own)))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    restored = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = f"""
 WITH RECURSIVE counted AS (
   SELECT doc_id, source,
@@ -136,6 +152,43 @@ fits AS (
 SELECT page_id, host, path, r_host || r_path AS rule, coalesce(action, 'allow') AS verdict FROM fits WHERE place = 1
 """
 
+DIVERGENCE_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+words AS (SELECT rid, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sized AS (
+  SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total
+  FROM groups g LEFT JOIN vocab v USING (lang)),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + ({divergence.SCALE} * (coalesce(c.n, 0) + 2)::HUGEINT) // (s.total + 2 * s.v))::HUGEINT AS p
+  FROM sized s JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+whole AS (
+  SELECT lang, term, (1 + ({divergence.SCALE} * (sum(n) + 2)::HUGEINT) // (any_value(t.total) + 2 * any_value(t.v)))::HUGEINT AS q
+  FROM counts JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM sized GROUP BY lang) t USING (lang) GROUP BY lang, term),
+gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -147,5 +200,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jump_shards": op9_jump_shards,
     "op10_url_rules": op10_url_rules,
+    "op11_chat_tree": op11_chat_tree,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op5_temperature_mix": MIX_SQL, "op10_url_rules": URL_SQL}
+ORACLES = {"op5_temperature_mix": MIX_SQL, "op10_url_rules": URL_SQL, "op13_source_divergence": DIVERGENCE_SQL}
