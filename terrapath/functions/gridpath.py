@@ -1,4 +1,4 @@
-"""Least-cost paths on small search grids, many grids and all grades at once (runs inside Spark tasks)."""
+"""Least-cost paths on one small search grid, all grades at once (runs inside Spark tasks)."""
 
 from __future__ import annotations
 
@@ -49,122 +49,41 @@ def nearest(lons, lats, lon, lat):
     return np.unravel_index(int(np.argmin(haversine(lons, lats, lon, lat))), lons.shape)
 
 
-#: Costs that differ by less than this share are equal: the first neighbour in the order of ``MOVES`` is taken.
-TIE = 1e-6
-#: Nodes within so many times the least edge of their bucket's lowest cost are expanded together.
-WIDTH = 40.0
-
-
-class Stack:
-    """Search grids of many requests, their nodes one after the other, with the costs of all edges.
-
-    The cost of an edge is exponential in ``|slope - target|``, so it is the greater of ``above * exp(-target / sigma)`` and
-    ``below * exp(target / sigma)``: both factors are computed once for all grades.  A missing neighbour costs infinity.
-    """
-
-    def __init__(self, grids):
-        sizes = [z.size for _, _, z in grids]
-        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.n = np.array([z.shape[0] for _, _, z in grids], np.int64)
-        self.owner = np.repeat(np.arange(len(grids)), sizes)
-        self.shift = np.array([[dr * n + dc for n in self.n] for dr, dc in MOVES], np.int64)
-        self.above = np.full((len(MOVES), int(self.first[-1])), np.inf)
-        self.below = np.full(self.above.shape, np.inf)
-        for (lons, lats, z), a, b in zip(grids, self.first, self.first[1:], strict=False):
-            above, below = self.above[:, a:b].reshape(-1, *z.shape), self.below[:, a:b].reshape(-1, *z.shape)
-            for k, (dr, dc) in enumerate(MOVES[: len(MOVES) // 2]):
-                here, there = _views(z.shape[0], dr, dc)
-                d = haversine(lons[here], lats[here], lons[there], lats[there])
-                for m, at, drop in ((k, here, z[here] - z[there]), (len(MOVES) - 1 - k, there, z[there] - z[here])):
-                    above[m][at], below[m][at] = self._factors(d, drop)
-
-    @staticmethod
-    def _factors(dist, drop):
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            slope = drop / dist * 100.0 / C.COST_SIGMA
-            above = np.where(slope < 0, dist, dist * np.exp(slope))
-            below = dist * np.exp(np.where(slope < 0, -2.0, -1.0) * slope)
-        short = dist < C.MIN_EDGE_M
-        return np.where(short, np.inf, above), np.where(short, np.inf, below)
-
-    def solve(self, starts, goals, grades):
-        """Cost of every (grade, grid), and the nodes of its cheapest path (None: unreachable).
-
-        Bucket by bucket: in every (grade, grid) the open nodes within ``WIDTH`` of its lowest cost are
-        expanded, all grids and grades in one step, until no open node is cheaper than the goal.
-        """
-        total, many = len(self.owner), len(self.n)
-        down, up = (np.exp(sign * np.asarray(grades, float) / C.COST_SIGMA) for sign in (-1, 1))
-        start, goal = self.first[:-1] + starts, self.first[:-1] + goals
-        best = np.full(len(grades) * total, np.inf)
-        base = np.arange(len(grades))[:, None] * total
-        best[(base + start).ravel()] = 0.0
-        goal_of, queued = (base + goal).ravel(), np.zeros(best.shape, bool)
-        open_ = (base + start).ravel()
-        queued[open_] = True
-        while len(open_):
-            grade, node = open_ // total, open_ % total
-            group = grade * many + self.owner[node]
-            cost = best[open_]
-            useful = cost < best[goal_of[group]]
-            low = np.full(len(goal_of), np.inf)
-            np.minimum.at(low, group[useful], cost[useful])
-            now = useful & (cost <= low[group] + WIDTH * C.GRID_STEP_M)
-            queued[open_[now | ~useful]] = False
-            waiting = [open_[useful & ~now]]
-            state, node, grade, cost = open_[now], node[now], grade[now], cost[now]
-            a, b, grid = down[grade], up[grade], self.owner[node]
-            for m in range(len(MOVES)):
-                offer = cost + np.maximum(self.above[m].take(node) * a, self.below[m].take(node) * b)
-                there = state + self.shift[m].take(grid)
-                gain = offer < best.take(there, mode="clip")
-                there = there[gain]
-                best[there] = offer[gain]
-                fresh = there[~queued[there]]
-                queued[fresh] = True
-                waiting.append(fresh)
-            open_ = np.concatenate(waiting)
-        return best[goal_of].reshape(len(grades), many), self._walk_back(best, start, goal, down, up)
-
-    def _walk_back(self, best, start, goal, down, up):
-        """Nodes from start to goal of every (grade, grid), by the rule of ``TIE``; all walks take a step at a time."""
-        total, many, count = len(self.owner), len(self.n), len(down)
-        grade, grid = (x.ravel() for x in np.meshgrid(np.arange(count), np.arange(many), indexing="ij"))
-        found = np.isfinite(best[grade * total + goal[grid]])
-        at = np.where(found, goal[grid], -1)
-        steps, live = [at.copy()], np.flatnonzero(found & (at != start[grid]))
-        while len(live):
-            v, g, q = at[live], grade[live], grid[live]
-            here = best[g * total + v]
-            pick, least = np.full(len(live), -1), np.full(len(live), np.inf)
-            spare = pick.copy()
-            for m in range(len(MOVES)):
-                u = v - self.shift[m].take(q)
-                inside = (u >= self.first[q]) & (u < self.first[q + 1])
-                u = np.where(inside, u, v)
-                edge = np.where(inside, np.maximum(self.above[m].take(u) * down[g], self.below[m].take(u) * up[g]), np.inf)
-                before = best[g * total + u]
-                through = before + edge
-                # falling costs keep walks free of cycles where a huge edge hides small ones
-                good = (pick < 0) & (through <= here * (1 + TIE)) & (before <= here - edge / 2)
-                pick[good] = u[good]
-                nearer = (through < least) & (before < here)
-                least[nearer], spare[nearer] = through[nearer], u[nearer]
-            at[live] = np.where(pick >= 0, pick, spare)
-            row = np.full(len(at), -1)
-            row[live] = at[live]
-            steps.append(row)
-            live = live[(at[live] != start[q]) & (at[live] >= 0)]
-        walks = np.array(steps[::-1])
-        out = []
-        for i in range(len(at)):
-            path = walks[:, i][walks[:, i] >= 0] - self.first[grid[i]] if found[i] and at[i] == start[grid[i]] else None
-            out.append(path)
-        return [out[g * many : (g + 1) * many] for g in range(count)]
-
-
 def least_cost(lons, lats, z, start, target, grades):
-    """Cheapest path of one grid per grade: (cost, rows, cols), or None where there is none."""
+    """Relax all edges until nothing improves; returns per grade (cost, rows, cols) or None."""
     n = lons.shape[0]
-    costs, walks = Stack([(lons, lats, z)]).solve(np.array([start[0] * n + start[1]]), np.array([target[0] * n + target[1]]), grades)
-    return [None if w is None else (float(c), (w // n).tolist(), (w % n).tolist()) for c, (w,) in zip(costs[:, 0], walks, strict=True)]
+    t = np.asarray(grades)[:, None, None]
+    moves = []
+    for dr, dc in MOVES:
+        a, b = _views(n, dr, dc)
+        d = haversine(lons[a], lats[a], lons[b], lats[b])
+        moves.append((a, b, edge_cost(d[None], (z[a] - z[b])[None], t)))
+    best = np.full((len(grades), n, n), np.inf)
+    best[:, start[0], start[1]] = 0.0
+    back = np.full(best.shape, -1, dtype=np.int8)
+    changed = True
+    while changed:
+        changed = False
+        for k, (a, b, cost) in enumerate(moves):
+            here, move = best[(slice(None), *b)], back[(slice(None), *b)]
+            offer = best[(slice(None), *a)] + cost
+            # only a strict gain moves the predecessor: tiny edges behind a huge one stay free of cycles
+            gain = offer < here
+            if gain.any():
+                changed = True
+                np.copyto(here, offer, where=gain)
+                move[gain] = k
+    out = []
+    for g in range(len(grades)):
+        if not np.isfinite(best[g, target[0], target[1]]):
+            out.append(None)
+            continue
+        r, c = target
+        rows, cols = [int(r)], [int(c)]
+        while (r, c) != tuple(start):
+            dr, dc = MOVES[back[g, r, c]]
+            r, c = r - dr, c - dc
+            rows.append(int(r))
+            cols.append(int(c))
+        out.append((float(best[g, target[0], target[1]]), rows[::-1], cols[::-1]))
+    return out
