@@ -23,10 +23,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no benchmark item; a row goes by its own text, whatever rows share its id or have none."""
+    same_row = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    rows = docs.select(*COLUMNS).withColumn("_row", same_row)
+    leaks = decontaminate.find_items(rows, table(spark, sf_dir, "benchmark"), doc_id="_row")
     gone = leaks.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
