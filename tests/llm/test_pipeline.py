@@ -49,3 +49,11 @@ def test_stages_with_odd_rows(spark):
         docs = store(stage(spark, docs, SF))
     assert {r.shard for r in docs.collect()} <= set(range(24))
     assert sharding.assign_shards(docs, 3).count() == docs.count()
+
+
+def test_leaks_go_by_row(spark):
+    leak = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    rows = [(1, leak), (None, leak), (2, "a clean text of a few words"), (1, "another clean text"), (None, "clean, without an id"), (3, None)]
+    kept = corpus_pipeline.drop_leaks(spark, documents(spark, rows, clash=False), SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows[2:])
