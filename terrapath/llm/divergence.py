@@ -79,20 +79,21 @@ def count_terms(docs: DataFrame) -> DataFrame:
 def share(n: Column, total: Column, terms: Column) -> Column:
     """``1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * terms))`` by long division, three digits at a time, free of overflow."""
     whole = total + terms * F.lit(PRIOR)
-
-    def digit(at: Column, _: Column) -> Column:
-        left = at["left"] * F.lit(1000)
-        rest = left % whole
-        return F.struct((at["value"] * F.lit(1000) + ((left - rest) / whole).cast("long")).alias("value"), rest.alias("left"))
-
-    start = F.struct(F.lit(0).cast("long").alias("value"), (n + F.lit(PRIOR)).alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, digit, lambda at: at["value"] + 1)
+    value, left = F.lit(1).cast("long"), n + F.lit(PRIOR)
+    for weight in (1_000_000, 1_000, 1):
+        left = left * F.lit(1000)
+        value = value + _whole(left, whole) * F.lit(weight).cast("long")
+        left = left % whole
+    return value
 
 
 def gap(p: Column, q: Column) -> Column:
     """``floor((p - q)**2 / (p + q))`` in whole numbers."""
-    square = (p - q) * (p - q)
-    return F.when(p + q > 0, ((square - square % (p + q)).cast("decimal(20,0)") / (p + q).cast("decimal(20,0)")).cast("long"))
+    return F.when(p + q > 0, _whole((p - q) * (p - q), p + q))
+
+
+def _whole(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 class Quadtree:
