@@ -16,7 +16,7 @@ from terrapath.llm.common import hash60, replace_columns, text_batches
 from terrapath.llm.words import WordRows
 
 UNKNOWN = "und"
-#: Only letters are read; a run of them is a word.
+#: A run of letters is a word; `letter_runs` takes out the number signs that the pattern lets through.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Products over words of so many letters stay in range, all letters outside the vocabulary included; longer words are summed as logarithms.
 SHORT = 30
@@ -30,6 +30,14 @@ FILTER_BITS = 20
 CHUNK, LETTERS_AT_ONCE = 20_000, 200_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """The words of a text in lower case; number signs such as ½, ² and Ⅷ are no letters."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for w in found for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 @dataclass(frozen=True)
 class Settings:
     """``vocabulary``: path of a public sentencepiece model, or None for the installed one;
@@ -204,7 +212,7 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> dict:
     languages = sorted({lang for _, lang in rows})
     counts: dict[str, Counter] = {lang: Counter() for lang in languages}
     for text, lang in rows:
-        counts[lang].update(LETTERS.findall(text.lower()))
+        counts[lang].update(letter_runs(text))
     words = sorted(set().union(*counts.values())) if languages else []
     weight = np.array([[counts[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
     chance = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
@@ -278,7 +286,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 def predict(texts: list[str | None], languages: list[str], table: WordRows) -> tuple[list[str], np.ndarray]:
     table.begin()
-    words_of = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    words_of = [letter_runs(t) if t else [] for t in texts]
     counts = np.fromiter(map(len, words_of), np.int64, len(words_of))
     names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     some = np.flatnonzero(counts)

@@ -43,3 +43,8 @@ def test_letters_outside_the_vocabulary(letters):
     names, scores = language.predict(texts, model["languages"], table)
     assert names[:3] == ["fr", "fr", "en"] and np.isfinite(scores).all()
     assert np.isfinite(language.log_likelihoods(lattice, model["chance"], [word])).all()
+
+
+def test_number_signs_are_no_letters():
+    assert language.letter_runs("½ ² Ⅷ ①5 _ 12") == []
+    assert language.letter_runs("Ab½cd É² 東京") == ["ab", "cd", "é", "東京"]
