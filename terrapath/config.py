@@ -32,9 +32,7 @@ ROLLING_WINDOW_M = 300.0
 
 # --- fixed values: tracing -------------------------------------------------
 STEP_M = 30.0
-LENGTH_MIN_M = 100.0
 LENGTH_MAX_M = 1000.0
-LENGTH_DEFAULT_M = 500.0
 MIN_TRAVERSE_DEG = 2.0
 MAX_TRAVERSE_DEG = 89.0
 MAX_CENTER_PATHS = 4

@@ -12,6 +12,7 @@ from terrapath.plans import sqlkit as S
 from terrapath.plans.registry import query, r4, r7
 from terrapath.sources import dem as D
 from terrapath.sources import fixtures as X
+from terrapath.sources import lookups as LK
 
 c = F.col
 
@@ -95,6 +96,49 @@ def src6(spark, sf):
     )
 
 
+def _values(rows: list[tuple]) -> str:
+    def cell(v: object) -> str:
+        if v is None:
+            return "NULL::double"
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else f"{v}"
+
+    return "(VALUES " + ",".join("(" + ",".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+@query(
+    "src6_pylon_config",
+    S.with_("lift")
+    + f"""SELECT l.resort_id, l.lift_type, count(*) AS n_lifts, p.hi AS pylon_height_m, p.st AS station_height_m, p.mn AS min_spacing_m, p.mx AS max_spacing_m,
+    p.cl AS min_clearance_m, p.sag AS sag_factor, k.color, k.icon FROM lift l JOIN {_values(LK.pylon_rows())} p(t,hi,st,mn,mx,cl,sag) ON p.t=l.lift_type
+    JOIN {_values(LK.color_rows())} k(entity,kind,color,icon) ON k.entity='lift' AND k.kind=l.lift_type GROUP BY ALL""",
+)
+def src6_pylons(spark, sf):
+    """Pylon configuration and colour of the lift types of every resort; lifts are counted before the tables are met."""
+    kinds = X.lift_ends(spark, sf).groupBy("resort_id", "lift_type").agg(F.count("*").alias("n_lifts"))
+    color = LK.colors(spark).where("entity = 'lift'").select(c("kind").alias("lift_type"), "color", "icon")
+    return kinds.join(F.broadcast(LK.pylons(spark)), "lift_type").join(F.broadcast(color), "lift_type")
+
+
+@query(
+    "src6_threshold_names",
+    f"""SELECT t.difficulty, t.floor_pct, t.below_pct, k.color, k.icon, w.part, w.ord, w.word, g.n AS n_readings
+    FROM {_values(LK.threshold_rows())} t(difficulty,floor_pct,below_pct)
+    JOIN (SELECT d, count(*) AS n FROM (SELECT CASE WHEN value>=40 THEN 'black' WHEN value>=25 THEN 'red' WHEN value>=15 THEN 'blue' WHEN value>=0 THEN 'green' END AS d FROM events) GROUP BY d) g ON g.d=t.difficulty
+    JOIN {_values(LK.color_rows())} k(entity,kind,color,icon) ON k.entity='slope' AND k.kind=t.difficulty
+    JOIN {_values(LK.name_rows())} w(entity,kind,part,ord,word) ON w.entity='slope' AND w.kind=t.difficulty""",
+)
+def src6_thresholds(spark, sf):
+    """Thresholds, colours and name parts of the difficulties that readings reach."""
+    level = F.lit(None)
+    for difficulty, floor, _ in LK.threshold_rows():
+        level = F.when(c("value") >= floor, difficulty).otherwise(level)
+    hits = X.table(spark, sf, "events").groupBy(level.alias("difficulty")).agg(F.count("*").alias("n_readings"))
+    hits = hits.join(F.broadcast(LK.thresholds(spark)), "difficulty")
+    color = LK.colors(spark).where("entity = 'slope'").select(c("kind").alias("difficulty"), "color", "icon")
+    word = LK.names(spark).where("entity = 'slope'").select(c("kind").alias("difficulty"), "part", "ord", "word")
+    return hits.join(F.broadcast(color), "difficulty").join(F.broadcast(word), "difficulty")
+
+
 @query(
     "join1_point_cell",
     S.with_("req", "dem")
