@@ -11,6 +11,7 @@ from terrapath import config as C
 from terrapath.functions.geo import haversine_m
 from terrapath.operators.scan import cut_lineage, running_total
 
+BUSY_PARTS = 8  # parts of a bucket of nodes that points are spread over
 M_PER_DEG = C.EARTH_RADIUS_M * math.pi / 180.0
 
 
@@ -59,7 +60,8 @@ def nearest_node(
     ``nodes``: node_id, node_ord, lon, lat (+ scope columns).  Nodes sit in one bucket
     of threshold size, every point looks into the buckets around it (at most 9), and
     the winner is a partial aggregate per point.  Nodes on the same spot are reduced
-    to the first one beforehand, so stacked nodes cannot blow up a bucket.
+    to the first one beforehand, so stacked nodes cannot blow up a bucket.  Points on the
+    same spot are looked up once, and the points of a busy bucket are spread over several parts.
     """
     scope = scope or []
     firsts = nodes.groupBy(*scope, "lon", "lat").agg(F.min_by(F.struct("node_id", "node_ord"), "node_ord").alias("n"))
@@ -70,21 +72,21 @@ def nearest_node(
         F.col("lon").alias("_lon"),
         F.col("lat").alias("_lat"),
         bucket(F.col("lon"), F.col("lat"), threshold_m).alias("_bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(BUSY_PARTS - 1))).alias("_part"),
     )
-    look = points.select(
-        *scope,
-        point_key,
-        "lon",
-        "lat",
+    spot = [*scope, "lon", "lat"]
+    look = points.select(*spot).distinct().select(
+        *spot,
         F.explode(buckets_within(F.col("lon"), F.col("lat"), threshold_m, threshold_m)).alias("_bucket"),
+        F.pmod(F.xxhash64("lon", "lat"), F.lit(BUSY_PARTS)).cast("int").alias("_part"),
     )
     d = haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    near = look.join(grid, [*scope, "_bucket"]).withColumn("_d", d).where(F.col("_d") < threshold_m)
-    best = near.groupBy(*scope, point_key).agg(
+    near = look.join(grid, [*scope, "_bucket", "_part"]).withColumn("_d", d).where(F.col("_d") < threshold_m)
+    best = near.groupBy(*spot).agg(
         F.min_by(F.struct("_node_id", "_d"), F.struct("_d", "_ord")).alias("_best")
     )
     return (
-        points.join(best, [*scope, point_key], "left")
+        points.join(best, spot, "left")
         .withColumn("node_id", F.col("_best._node_id"))
         .withColumn("distance_m", F.col("_best._d"))
         .drop("_best")
