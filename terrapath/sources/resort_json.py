@@ -85,12 +85,14 @@ def fragments(parts: dict[str, DataFrame], counters: DataFrame) -> DataFrame:
     for k, name in enumerate(PARTS):
         if name not in parts:
             continue
-        df = parts[name]
-        first = df.groupBy("resort_id").agg(F.min("item").alias("_first"))
+        # a resort with many entities is cut into chunks of items, so that no task holds all of them
+        df = parts[name].withColumn("_chunk", F.floor(F.col("item") / C.CHUNK_ROWS))
+        chunks = df.groupBy("resort_id", "_chunk").agg(F.min("item").alias("_lowest"))
+        first = chunks.select("resort_id", "_chunk").join(chunks.groupBy("resort_id").agg(F.min("_lowest").alias("_first")), "resort_id")
         comma = F.when(F.col("item") == F.col("_first"), "").otherwise(",")
         text = F.concat(comma, F.lit('"'), F.col("entity.id"), F.lit('":'), F.to_json("entity"))
         out = out.unionByName(
-            df.join(first, "resort_id").select("resort_id", F.lit(2 * k + 1).alias("part"), F.col("item").cast("long").alias("item"), text.alias("text"))
+            df.join(first, ["resort_id", "_chunk"]).select("resort_id", F.lit(2 * k + 1).alias("part"), F.col("item").cast("long").alias("item"), text.alias("text"))
         )
     return out
 
