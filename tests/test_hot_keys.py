@@ -8,7 +8,7 @@ from terrapath.sources import resort_json as J
 
 def test_fragments_of_one_resort_are_spread(spark):
     nodes = spark.range(20000, numPartitions=4).select(
-        F.lit(0).cast("long").alias("resort_id"), F.col("id").alias("item"),
+        (F.col("id") % 1).alias("resort_id"), F.col("id").alias("item"),
         F.struct(F.concat(F.lit("N"), "id").alias("id"), F.struct(F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.lit(3.0).alias("elevation")).alias("location")).alias("entity"),
     )
     counters = spark.range(1).select(F.col("id").alias("resort_id"), F.struct(*[F.lit(0).alias(n) for n in ("node", "segment", "slope", "lift")]).alias("counters"))
