@@ -6,15 +6,15 @@ and cable shape are array expressions on that row: no shuffle beyond the terrain
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from terrapath import config as C
-from terrapath.functions.geo import bearing_deg, destination, haversine_m, let, num
+from terrapath.functions.geo import bearing_deg, let, num
+from terrapath.functions.liftline import line_m, line_points, pylon_search
 from terrapath.functions.paths import id_number, lift_name
 from terrapath.functions.rules import lift_nodes_differ, lift_uphill
 from terrapath.functions.terrain import lookup
@@ -29,18 +29,27 @@ def spec(lift_type: Column, name: str, fallback: str | None = None) -> Column:
     return F.coalesce(value, F.lit(C.PYLON_TABLE[fallback][PYLON_KEYS.index(name)])) if fallback else value
 
 
-def _line_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    if not all(map(math.isfinite, (lat1, lon1, lat2, lon2))):
-        return math.nan
-    a = math.pow(math.sin(math.radians(lat2 - lat1) / 2), 2.0) + math.cos(math.radians(lat1)) * math.cos(
-        math.radians(lat2)
-    ) * math.pow(math.sin(math.radians(lon2 - lon1) / 2), 2.0)
-    return 2 * C.EARTH_RADIUS_M * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1.0 - a)))
+@F.arrow_udf(DoubleType())
+def _lines_m(lat1: pa.Array, lon1: pa.Array, lat2: pa.Array, lon2: pa.Array) -> pa.Array:
+    ends = zip(*(a.to_pylist() for a in (lat1, lon1, lat2, lon2)), strict=True)
+    return pa.array([None if None in p else line_m(*p) for p in ends], pa.float64())
+
+
+@F.arrow_udf(ArrayType(StructType().add("lon", DoubleType()).add("lat", DoubleType())))
+def _lines(lon1: pa.Array, lat1: pa.Array, lon2: pa.Array, lat2: pa.Array) -> pa.Array:
+    lons, lats, offsets = [], [], [0]
+    for p in zip(*(a.to_pylist() for a in (lon1, lat1, lon2, lat2)), strict=True):
+        x, y = line_points(*p)
+        lons += x
+        lats += y
+        offsets.append(len(lons))
+    points = pa.StructArray.from_arrays([pa.array(lons, pa.float64()), pa.array(lats, pa.float64())], ["lon", "lat"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)
 
 
-@F.pandas_udf(DoubleType())
-def _lines_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    return pd.Series([_line_m(*p) for p in zip(lat1, lon1, lat2, lon2, strict=True)], dtype="float64")
+def distance_m(lat1, lon1, lat2, lon2) -> Column:
+    """Great-circle distance to the last bit as the C library gives it; latitude first."""
+    return _lines_m(*map(num, (lat1, lon1, lat2, lon2)))
 
 
 def length_between() -> Column:
@@ -49,31 +58,22 @@ def length_between() -> Column:
     On even ground two samples as far from the middle of a span need the same clearance, and the last bits
     of the sample spacing tell which is found worse.  The JVM rounds its sines and arcs differently there.
     """
-    ends = [F.col(n) for n in ("start_lat", "start_lon", "end_lat", "end_lon")]
-    known = ends[0].isNotNull() & ends[1].isNotNull() & ends[2].isNotNull() & ends[3].isNotNull()
-    return F.when(known, _lines_m(*ends))
+    return distance_m(*map(F.col, ("start_lat", "start_lon", "end_lat", "end_lon")))
 
 
 def terrain_samples(lifts: DataFrame, cells: DataFrame, meta: D.DemMeta) -> DataFrame:
     """Points along the lift line, one row per point (resort_id, lift_id, i, n, lon, lat, elevation)."""
-    d = F.col("_d")
-    steps = F.when(d < C.LIFT_SAMPLE_M, F.lit(1)).otherwise(F.greatest(F.lit(2), (d / C.LIFT_SAMPLE_M).cast("int")))
-    heading = bearing_deg(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
+    spots = _lines(*map(F.col, ("start_lon", "start_lat", "end_lon", "end_lat")))
     line = (
-        lifts.withColumn("_d", length_between())
-        .withColumn("n", steps)
-        .withColumn("_b", heading)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+        lifts.select("resort_id", "lift_id", "start_elevation", "end_elevation", spots.alias("_p"))
+        .select("*", (F.size("_p") - 1).alias("n"), F.posexplode("_p").alias("i", "_q"))
+        .select("*", "_q.lon", "_q.lat")
+        .drop("_p", "_q")
     )
-    share = F.col("i") / F.col("n")
-    spot = destination(F.col("start_lon"), F.col("start_lat"), F.col("_b"), F.col("_d") * share)
-    first, last = F.col("i") == 0, F.col("i") == F.col("n")
-    line = line.withColumn("_p", spot)
-    for k in ("lon", "lat"):
-        line = line.withColumn(k, F.when(first, F.col(f"start_{k}")).when(last, F.col(f"end_{k}")).otherwise(F.col(f"_p.{k}")))
     found = D.lookup_elevation(line, cells, meta, out="_z")
+    share = F.col("i") / F.col("n")
     z0, z1 = F.col("start_elevation"), F.col("end_elevation")
-    z = F.when(first, z0).when(last, z1).otherwise(F.coalesce("_z", z0 + share * (z1 - z0)))
+    z = F.when(F.col("i") == 0, z0).when(F.col("i") == F.col("n"), z1).otherwise(F.coalesce("_z", z0 + share * (z1 - z0)))
     return found.select("resort_id", "lift_id", "i", "n", "lon", "lat", z.alias("elevation"))
 
 
@@ -93,157 +93,59 @@ def cable_elevation(t, z0, z1, span_m, sag) -> Column:
     return (1 - t) * num(z0) + t * num(z1) - 4.0 * (num(sag) * num(span_m)) * t * (1 - t)
 
 
-SPAN = "array<struct<s:int,e:int,zs:double,ze:double>>"
-
-
-def _span(s: Column, e: Column, zs: Column, ze: Column) -> Column:
-    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), zs.alias("zs"), ze.alias("ze"))
-
-
-def clear_spans(spans: Column, z: Column, par: Column) -> Column:
-    """Indices where pylons are needed so that the cable keeps its clearance.
-
-    Work list over spans: take one, find its worst violation, put a pylon there and
-    queue both halves.  ``par``: step, min_idx, clearance, height, sag.
-    """
-
-    def worst(span: Column) -> Column:
-        s, e = span["s"], span["e"]
-        lo, hi = s + par["min_idx"], e - par["min_idx"]
-
-        def look(acc: Column, i: Column) -> Column:
-            t = (i - s) / (e - s)
-            cable = cable_elevation(t, span["zs"], span["ze"], (e - s) * par["step"], par["sag"])
-            gap = par["clearance"] - (cable - F.element_at(z, i + 1))
-            return let(gap, lambda g: F.when(g > acc["v"], F.struct(g.alias("v"), i.alias("i"))).otherwise(acc))
-
-        none = F.struct(F.lit(0.0).alias("v"), F.lit(-1).alias("i"))
-        return F.when(lo <= hi, F.aggregate(F.sequence(lo, hi), none, look)).otherwise(none)
-
-    def step(acc: Column, _: Column) -> Column:
-        def split(span: Column) -> Column:
-            def place(w: Column) -> Column:
-                rest = F.slice(acc["open"], 2, F.size(acc["open"]))
-                top = F.element_at(z, w["i"] + 1) + par["height"]
-                halves = F.array(_span(span["s"], w["i"], span["zs"], top), _span(w["i"], span["e"], top, span["ze"]))
-                return F.when(
-                    w["i"] > 0,
-                    F.struct(
-                        F.concat(rest, halves).alias("open"),
-                        F.concat(acc["found"], F.array(w["i"])).alias("found"),
-                    ),
-                ).otherwise(F.struct(rest.alias("open"), acc["found"].alias("found")))
-
-            return let(worst(span), place)
-
-        return F.when(F.size(acc["open"]) > 0, let(F.element_at(acc["open"], 1), split)).otherwise(acc)
-
-    start = F.struct(spans.cast(SPAN).alias("open"), F.array().cast("array<int>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), 3 * F.size(z)), start, step, lambda acc: acc["found"])
-
-
-def space_out(pylons: Column, n: Column, max_idx: Column) -> Column:
-    """Halve spans longer than ``max_idx`` for up to 20 rounds."""
-
-    def round_(acc: Column, _: Column) -> Column:
-        anchors = F.concat(F.array(F.lit(0)), acc, F.array(n - 1))
-        mids = F.zip_with(
-            F.slice(anchors, 1, F.size(anchors) - 1),
-            F.slice(anchors, 2, F.size(anchors) - 1),
-            lambda a, b: F.when(b - a > max_idx, F.floor((a + b) / 2).cast("int")),
-        )
-        new = F.filter(mids, lambda m: m.isNotNull() & (m > 0) & (m < n - 1))
-        return F.array_sort(F.array_union(acc, new))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(C.SPACING_ROUNDS)), pylons, round_)
-
-
 PYLON = "array<struct<index:int,distance_m:double,lat:double,lon:double,ground_elevation_m:double,height_m:double>>"
 POINT = "array<struct<lon:double,lat:double,elevation:double>>"
 
 
-def _search(lift_type: Column, body) -> Column:
-    """Bind elevations and search parameters once, then evaluate ``body(z, par)``.
+PHASES = StructType()
+for _name in ("clear", "spaced", "kept"):
+    PHASES.add(_name, ArrayType(IntegerType()))
 
-    Everything is bound inside one expression: a later filter that the optimizer copies
-    below the projection then repeats the search at most once, never per element.
-    """
-    t = lift_type
-    step = F.col("length_m") / (F.size("terrain_points") - 1)
-    z = F.transform("terrain_points", lambda p: p["elevation"])
-
-    def params(s: Column) -> Column:
-        return F.struct(
-            s.alias("step"),
-            F.greatest(F.lit(2), (spec(t, "min_spacing") / s).cast("int")).alias("min_idx"),
-            (spec(t, "max_spacing") / s).cast("int").alias("max_idx"),
-            spec(t, "min_clearance").alias("clearance"),
-            spec(t, "pylon_height").alias("height"),
-            spec(t, "station_height").alias("station"),
-            spec(t, "sag").alias("sag"),
-        )
-
-    return let(z, lambda zz: let(let(step, params), lambda par: body(zz, par)))
 
+@F.arrow_udf(PHASES)
+def _phases(z: pa.Array, *par: pa.Array) -> pa.Array:
+    known = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
+    sizes = z.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = pylon_search(known(z.flatten()), sizes, *map(known, par))
+    lists = []
+    for lift, idx in found:
+        offsets = np.searchsorted(lift, np.arange(len(sizes) + 1)).astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(idx.astype(np.int32))))
+    return pa.StructArray.from_arrays(lists, ["clear", "spaced", "kept"])
 
-def _level(z: Column, par: Column, i: Column) -> Column:
-    """Cable height at an anchor: station at both ends, pylon top in between."""
-    end = (i == 0) | (i == F.size(z) - 1)
-    return F.element_at(z, i + 1) + F.when(end, par["station"]).otherwise(par["height"])
 
-
-def _anchored_spans(z: Column, par: Column, pylons: Column) -> Column:
-    def build_spans(a: Column) -> Column:
-        n = F.size(a) - 1
-        return F.zip_with(
-            F.slice(a, 1, n), F.slice(a, 2, n), lambda s, e: _span(s, e, _level(z, par, s), _level(z, par, e))
-        )
-
-    return let(F.concat(F.array(F.lit(0)), pylons, F.array(F.size(z) - 1)), build_spans)
-
-
-def _first_pass(z: Column, par: Column) -> Column:
-    none = F.array().cast("array<int>")
-    return F.array_sort(clear_spans(_anchored_spans(z, par, none), z, par))
+def _search(lift_type: Column) -> Column:
+    """Pylon indices by phase: clearance, spacing, clearance again; none below three terrain points."""
+    names = ("min_spacing", "max_spacing", "min_clearance", "pylon_height", "station_height", "sag")
+    return _phases(F.col("terrain_points")["elevation"], F.col("length_m"), *[spec(lift_type, n) for n in names])
 
 
 def with_pylons(lifts: DataFrame, lift_type: str = "lift_type") -> DataFrame:
     """Add ``pylons``: clearance, spacing, clearance again; none below three terrain points."""
+    step = F.col("length_m") / (F.size("terrain_points") - 1)
 
-    def search(z: Column, par: Column) -> Column:
-        def finish(p2: Column) -> Column:
-            return F.array_sort(F.array_union(p2, clear_spans(_anchored_spans(z, par, p2), z, par)))
-
-        spaced = space_out(_first_pass(z, par), F.size(z), par["max_idx"])
-
-        def record(i: Column) -> Column:
-            point = F.element_at("terrain_points", i + 1)
-            return F.struct(
-                i.alias("index"),
-                (i * par["step"]).alias("distance_m"),
-                point["lat"].alias("lat"),
-                point["lon"].alias("lon"),
-                point["elevation"].alias("ground_elevation_m"),
-                par["height"].alias("height_m"),
-            )
-
-        return F.transform(let(spaced, finish), record)
+    def record(i: Column) -> Column:
+        point = F.element_at("terrain_points", i + 1)
+        return F.struct(
+            i.alias("index"),
+            (i * step).alias("distance_m"),
+            point["lat"].alias("lat"),
+            point["lon"].alias("lon"),
+            point["elevation"].alias("ground_elevation_m"),
+            spec(F.col(lift_type), "pylon_height").alias("height_m"),
+        )
 
-    found = _search(F.col(lift_type), search)
-    return lifts.withColumn("pylons", F.when(F.size("terrain_points") >= 3, found).otherwise(F.array().cast(PYLON)))
+    return (
+        lifts.withColumn("_found", _search(F.col(lift_type)))
+        .withColumn("pylons", F.transform("_found.kept", record).cast(PYLON))
+        .drop("_found")
+    )
 
 
 def pylon_phases(lifts: DataFrame) -> DataFrame:
     """Pylon indices after the first clearance pass and after spacing (before the final pass)."""
-
-    def search(z: Column, par: Column) -> Column:
-        return let(
-            _first_pass(z, par),
-            lambda p: F.struct(p.alias("clear"), space_out(p, F.size(z), par["max_idx"]).alias("spaced")),
-        )
-
-    found = _search(F.col("lift_type"), search)
-    return lifts.where(F.size("terrain_points") >= 3).select("lift_id", found.alias("f")).select("lift_id", "f.*")
+    found = lifts.where(F.size("terrain_points") >= 3).select("lift_id", _search(F.col("lift_type")).alias("f"))
+    return found.select("lift_id", "f.clear", "f.spaced")
 
 
 def with_cable(lifts: DataFrame, lift_type: str = "lift_type") -> DataFrame:
@@ -382,7 +284,7 @@ def cable_profile(lifts: DataFrame) -> DataFrame:
     n = F.size("terrain_points")
     rows = lifts.select(
         "lift_id", "length_m", "start_lat", "start_lon", "terrain_points", F.posexplode_outer("cable_points").alias("i", "p")
-    ).withColumn("x_m", haversine_m(F.col("start_lat"), F.col("start_lon"), F.col("p.lat"), F.col("p.lon")))
+    ).withColumn("x_m", distance_m(F.col("start_lat"), F.col("start_lon"), F.col("p.lat"), F.col("p.lon")))
     pos = F.when(F.col("length_m") > 0, F.col("x_m") / F.col("length_m")).otherwise(0.0) * (n - 1)
     rows = rows.withColumn("_pos", pos).withColumn("_low", F.least(F.col("_pos").cast("int"), n - 1))
     low = F.element_at("terrain_points", F.col("_low") + 1)["elevation"]

@@ -8,7 +8,7 @@ from terrapath import config as C
 from terrapath.functions import terrain
 from terrapath.operators import lifts as L
 from terrapath.plans import sqlkit as S
-from terrapath.plans.registry import query, r4, r7
+from terrapath.plans.registry import query, r4, r7, rounded
 from terrapath.plans.scalar import _NAME_L
 from terrapath.sources import fixtures as X
 
@@ -156,7 +156,7 @@ def lft7(spark, sf):
     z = F.aggregate("cable_points", F.lit(0.0), lambda a, p: a + p["elevation"])
     return w.select(
         "lift_id", "new_type", "name", F.size("pylons").alias("n_pylons"), F.size("cable_points").alias("n_cable"),
-        F.round(z, 3).alias("cable_sum"),
+        rounded(z, 3).alias("cable_sum"),
     )
 
 
@@ -264,5 +264,5 @@ def snk4(spark, sf):
 )
 def snk14(spark, sf):
     p = L.cable_profile(full_lifts(spark, sf))
-    return p.select("lift_id", "i", *[F.round(n, 3).alias(n) for n in ("x_m", "cable_m", "ground_m", "share_pct")])
+    return p.select("lift_id", "i", *[rounded(n, 3).alias(n) for n in ("x_m", "cable_m", "ground_m", "share_pct")])
 
