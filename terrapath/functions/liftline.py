@@ -121,3 +121,35 @@ def pylon_search(z, sizes, length_m, min_spacing, max_spacing, clearance, height
             break
         two = np.union1d(two, (lift * width + mid)[more])
     return [(keys // width, keys % width) for keys in (one, two, clear(two))]
+
+
+def cable_points(lon, lat, sizes, length_m, x, y, anchors, y_start, y_end, sag):
+    """Cable vertices of many lifts: parabolic sag between the stations and pylon tops, one part per 20 m, at least ten.
+
+    ``lon``, ``lat``: line points of all lifts in a row, ``sizes`` of them each; ``x``, ``y``: distance and top of the
+    pylons, ``anchors`` of them each; the rest one value a lift.  Returns lift, lon, lat and elevation of each vertex.
+    """
+    n_lifts = len(sizes)
+    every = np.arange(n_lifts)
+    owner = np.concatenate([every, np.repeat(every, anchors), every])
+    kind = np.repeat([0, 1, 2], [n_lifts, len(x), n_lifts])
+    x, y = np.concatenate([np.zeros(n_lifts), x, length_m]), np.concatenate([y_start, y, y_end])
+    order = np.lexsort((x, kind, owner))
+    owner, kind, x, y = owner[order], kind[order], x[order], y[order]
+    width = x[1:] - x[:-1]
+    with np.errstate(invalid="ignore"):
+        a = np.flatnonzero((owner[1:] == owner[:-1]) & (width > 0) & (sizes[owner[1:]] > 0))
+    width, lift = width[a], owner[a]
+    pieces = np.maximum(10, (width / 20.0).astype(np.int64))
+    from_ = np.where(kind[a] > 0, 1, 0)
+    count = pieces + 1 - from_
+    span = np.repeat(np.arange(len(a)), count)
+    i = np.arange(len(span)) - (np.cumsum(count) - count - from_)[span]
+    lift, width, pieces, a = lift[span], width[span], pieces[span], a[span]
+    pos = (x[a] + width * i / pieces) / length_m[lift] * (sizes[lift] - 1)
+    low = np.minimum(pos.astype(np.int64), sizes[lift] - 1)
+    first = (np.cumsum(sizes) - sizes)[lift]
+    p, q, f = first + low, first + np.minimum(low + 1, sizes[lift] - 1), pos - low
+    t = i / pieces
+    z = (1 - t) * y[a] + t * y[a + 1] - 4.0 * (sag[lift] * width) * t * (1 - t)
+    return lift, lon[p] + (lon[q] - lon[p]) * f, lat[p] + (lat[q] - lat[p]) * f, z

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from terrapath import config as C
-from terrapath.functions.geo import bearing_deg, let, num
-from terrapath.functions.liftline import line_m, line_points, pylon_search
+from terrapath.functions.geo import bearing_deg, num
+from terrapath.functions.liftline import cable_points, line_m, line_points, pylon_search
 from terrapath.functions.paths import id_number, lift_name
 from terrapath.functions.rules import lift_nodes_differ, lift_uphill
 from terrapath.functions.terrain import lookup
@@ -94,7 +94,6 @@ def cable_elevation(t, z0, z1, span_m, sag) -> Column:
 
 
 PYLON = "array<struct<index:int,distance_m:double,lat:double,lon:double,ground_elevation_m:double,height_m:double>>"
-POINT = "array<struct<lon:double,lat:double,elevation:double>>"
 
 
 PHASES = StructType()
@@ -102,11 +101,18 @@ for _name in ("clear", "spaced", "kept"):
     PHASES.add(_name, ArrayType(IntegerType()))
 
 
+def _doubles(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _sizes(a: pa.Array) -> np.ndarray:
+    return a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 @F.arrow_udf(PHASES)
 def _phases(z: pa.Array, *par: pa.Array) -> pa.Array:
-    known = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
-    sizes = z.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    found = pylon_search(known(z.flatten()), sizes, *map(known, par))
+    sizes = _sizes(z)
+    found = pylon_search(_doubles(z.flatten()), sizes, *map(_doubles, par))
     lists = []
     for lift, idx in found:
         offsets = np.searchsorted(lift, np.arange(len(sizes) + 1)).astype(np.int32)
@@ -148,59 +154,33 @@ def pylon_phases(lifts: DataFrame) -> DataFrame:
     return found.select("lift_id", "f.clear", "f.spaced")
 
 
-def with_cable(lifts: DataFrame, lift_type: str = "lift_type") -> DataFrame:
-    """Add ``cable_points``: parabolic sag between stations and pylon tops."""
-    t = F.col(lift_type)
-    station, sag = spec(t, "station_height", "chairlift"), spec(t, "sag", "chairlift")
-    n = F.size("terrain_points")
-    total = F.col("length_m")
-    inner = F.transform(
-        "pylons", lambda p: F.struct(p["distance_m"].alias("x"), (p["ground_elevation_m"] + p["height_m"]).alias("y"))
-    )
-    anchors = F.concat(
-        F.array(F.struct(F.lit(0.0).alias("x"), (F.col("start_elevation") + station).alias("y"))),
-        F.array_sort(inner, lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0)),
-        F.array(F.struct(total.alias("x"), (F.col("end_elevation") + station).alias("y"))),
-    )
+XYZ = StructType()
+for _name in ("lon", "lat", "elevation"):
+    XYZ.add(_name, DoubleType())
 
-    def span_rows(a: Column) -> Column:
-        """Anchor pairs with the number of pieces and the first piece to emit."""
-        m = F.size(a) - 1
-        pairs = F.zip_with(
-            F.slice(a, 1, m),
-            F.slice(a, 2, m),
-            lambda p, q: F.struct(
-                p["x"].alias("x0"),
-                q["x"].alias("x1"),
-                p["y"].alias("y0"),
-                q["y"].alias("y1"),
-                F.greatest(F.lit(10), ((q["x"] - p["x"]) / 20.0).cast("int")).alias("pieces"),
-            ),
-        )
-        return F.transform(pairs, points_of)
-
-    def points_of(span: Column, k: Column) -> Column:
-        width = span["x1"] - span["x0"]
-
-        def at(i: Column) -> Column:
-            x = span["x0"] + width * i / span["pieces"]
 
-            def shape(pos: Column) -> Column:
-                low = pos.cast("int")
-                p = F.element_at("terrain_points", low + 1)
-                q = F.element_at("terrain_points", F.least(low + 1, n - 1) + 1)
-                return F.struct(
-                    (p["lon"] + (q["lon"] - p["lon"]) * (pos - low)).alias("lon"),
-                    (p["lat"] + (q["lat"] - p["lat"]) * (pos - low)).alias("lat"),
-                    cable_elevation(i / span["pieces"], span["y0"], span["y1"], width, sag).alias("elevation"),
-                )
+@F.arrow_udf(ArrayType(XYZ))
+def _cables(lon: pa.Array, lat: pa.Array, length_m: pa.Array, x: pa.Array, y: pa.Array, *rest: pa.Array) -> pa.Array:
+    flat = lambda a: _doubles(a.flatten())
+    lift, *values = cable_points(flat(lon), flat(lat), _sizes(lon), _doubles(length_m), flat(x), flat(y), _sizes(x), *map(_doubles, rest))
+    offsets = np.searchsorted(lift, np.arange(len(lon) + 1)).astype(np.int32)
+    points = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in values], XYZ.names)
+    return pa.ListArray.from_arrays(pa.array(offsets), points)
 
-            return let(x / total * (n - 1), shape)
 
-        start = F.when(k > 0, F.lit(1)).otherwise(F.lit(0))
-        return F.when(width > 0, F.transform(F.sequence(start, span["pieces"]), at)).otherwise(F.array().cast(POINT))
-
-    return lifts.withColumn("cable_points", F.flatten(let(anchors, span_rows)))
+def with_cable(lifts: DataFrame, lift_type: str = "lift_type") -> DataFrame:
+    """Add ``cable_points``: parabolic sag between stations and pylon tops."""
+    t = F.col(lift_type)
+    station, sag = spec(t, "station_height", "chairlift"), spec(t, "sag", "chairlift")
+    tops = F.transform("pylons", lambda p: p["ground_elevation_m"] + p["height_m"])
+    points = F.col("terrain_points")
+    return lifts.withColumn(
+        "cable_points",
+        _cables(
+            points["lon"], points["lat"], F.col("length_m"), F.col("pylons")["distance_m"], tops,
+            F.col("start_elevation") + station, F.col("end_elevation") + station, sag,
+        ),
+    )
 
 
 def with_name(lifts: DataFrame, lift_type: str = "lift_type") -> DataFrame:

@@ -92,3 +92,23 @@ def test_search_of_many_lifts_equals_each_alone():
         alone = pylon_search(z[k], sizes[k : k + 1], *(p[k : k + 1] for p in par))
         assert all(w[1][w[0] == k].tolist() == a[1].tolist() for w, a in zip(whole, alone, strict=True))
     assert not (whole[0][0] == 5).any() and (whole[1][0] == 5).any() and len(whole[2][0]) > 10
+
+
+def test_cable_of_many_lifts_equals_each_alone():
+    import numpy as np
+
+    from terrapath.functions.liftline import cable_points
+
+    sizes, anchors = np.array([4, 0, 3, 2]), np.array([2, 0, 1, 0])
+    lon, lat = np.arange(9) * 0.001, np.arange(9) * 0.002
+    length, x, y = np.array([600.0, 100.0, 450.0, 40.0]), np.array([390.0, 150.0, 220.0]), np.array([30.0, 20.0, 25.0])
+    rest = [np.array([10.0, 11.0, 12.0, 13.0]), np.array([50.0, 51.0, 52.0, 53.0]), np.full(4, 0.04)]
+    lift, *values = cable_points(lon, lat, sizes, length, x, y, anchors, *rest)
+    assert np.bincount(lift, minlength=4).tolist() == [11 + 12 + 10, 0, 12 + 11, 11]
+    at, ax = np.cumsum(sizes) - sizes, np.cumsum(anchors) - anchors
+    for k in (0, 2, 3):
+        own, pylon = slice(at[k], at[k] + sizes[k]), slice(ax[k], ax[k] + anchors[k])
+        alone = cable_points(lon[own], lat[own], sizes[k : k + 1], length[k : k + 1], x[pylon], y[pylon], anchors[k : k + 1], *(v[k : k + 1] for v in rest))
+        assert all(v[lift == k].tolist() == w.tolist() for v, w in zip(values, alone[1:], strict=True))
+    z = values[2][lift == 0]
+    assert (z[0], z[10], z[22], z[-1]) == (10.0, 20.0, 30.0, 50.0)
