@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrapath.llm import simhash
 from terrapath.llm.chaining import word_hashes, word_table
-from terrapath.llm.common import keep, store, text_batches
+from terrapath.llm.common import keep, scratch, store, text_batches
 from terrapath.llm.components import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -194,7 +194,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str, out: str) -> DataFr
     return rows.join(found, name, "left").withColumn(out, F.coalesce("_found", name)).drop("_found")
 
 
-def link_sets(classes: DataFrame, proposed: DataFrame, read_sets, settings: Settings = Settings()) -> DataFrame:
+def link_sets(classes: DataFrame, proposed: DataFrame, read_sets, settings: Settings = Settings(), store=store) -> DataFrame:
     """Edges ``a, b`` that connect all codes of ``classes (code, size, bands)`` with similar sets.
 
     The hub of a band is the member that meets most sets in all its bands together.  Every code is compared with one hub,
@@ -229,7 +229,7 @@ def link_sets(classes: DataFrame, proposed: DataFrame, read_sets, settings: Sett
     return keep(links.unionByName(_confirm(store(_meet(rare, settings)), sets, settings)))
 
 
-def near_prints(classes: DataFrame, radius: int) -> DataFrame:
+def near_prints(classes: DataFrame, radius: int, store=store) -> DataFrame:
     """Edges ``a, b`` between codes of ``classes (code, print)`` that connect all whose SimHashes are equal or within ``radius`` bits."""
     leads = store(classes.groupBy("print").agg(F.min("code").alias("lead")))
     same = classes.join(leads, "print").where("code <> lead").select(F.col("code").alias("a"), F.col("lead").alias("b"))
@@ -252,19 +252,22 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
     name, body = F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.concat(F.lit("t"), F.col(text))
     rid = F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(name, F.lit("")), F.coalesce(body, F.lit("")))))
     rows = docs.select(rid.alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = store(rows.mapInArrow(_reader(settings), f"rid binary, doc_id {kind}, code binary, print bigint, size int, bands array<bigint>"))
-    classes = store(marked.groupBy("code").agg(F.min_by(F.struct("rid", "print", "size", "bands"), "rid").alias("_one")).select("code", "_one.*"))
-
-    def read_sets(codes: DataFrame) -> DataFrame:
-        wanted = store(classes.join(codes, "code").select("rid", "code"))
-        found = rows.select("rid", "text").join(wanted, "rid").select("code", "text")
-        return found.mapInArrow(_set_reader(settings), "code binary, shingles binary").dropDuplicates(["code"])
-
-    labels = components(link_sets(classes.select("code", "size", "bands"), near_prints(classes.select("code", "print"), settings.radius), read_sets, settings))
-    ids = marked.groupBy("code").agg(F.min("doc_id").alias("first_id"))
-    labelled = _labelled(ids, labels, "code", "label")
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("smallest_id"))
-    named = store(labelled.join(smallest, "label").select("code", "smallest_id"))
-    gone = store(marked.select("rid", "doc_id", "code").join(named, "code").where("doc_id <> smallest_id").select(F.col("rid").alias("_gone")).distinct())
+    with scratch(docs.sparkSession) as put:
+        marked = put(rows.mapInArrow(_reader(settings), f"rid binary, doc_id {kind}, code binary, print bigint, size int, bands array<bigint>"))
+        classes = put(marked.groupBy("code").agg(F.min_by(F.struct("rid", "print", "size", "bands"), "rid").alias("_one")).select("code", "_one.*"))
+
+        def read_sets(codes: DataFrame) -> DataFrame:
+            wanted = put(classes.join(codes, "code").select("rid", "code"))
+            # repeated rows go while they are text, by the key of the join: sets take twice the room
+            found = rows.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).select("code", "text")
+            return found.mapInArrow(_set_reader(settings), "code binary, shingles binary")
+
+        near = near_prints(classes.select("code", "print"), settings.radius, put)
+        labels = components(link_sets(classes.select("code", "size", "bands"), near, read_sets, settings, put))
+        ids = marked.groupBy("code").agg(F.min("doc_id").alias("first_id"))
+        labelled = _labelled(ids, labels, "code", "label")
+        smallest = labelled.groupBy("label").agg(F.min("first_id").alias("smallest_id"))
+        named = put(labelled.join(smallest, "label").select("code", "smallest_id"))
+        gone = store(marked.select("rid", "doc_id", "code").join(named, "code").where("doc_id <> smallest_id").select(F.col("rid").alias("_gone")).distinct())
     left = docs.withColumn("_rid", rid).join(gone, F.col("_rid") == F.col("_gone"), "left_anti")
     return left.dropDuplicates(["_rid"]).drop("_rid")

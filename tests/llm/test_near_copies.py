@@ -65,3 +65,18 @@ def test_stage_drops_copies_of_similarity_08(spark):
     assert sorted(r.doc_id for r in stage if r.doc_id is not None) == smallest_ids(rows)
     assert sorted(r.text or "" for r in stage if r.doc_id is None) == sorted({t or "" for i, t in rows if i is None})
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_working_tables_go_when_the_stage_is_done(spark):
+    from pathlib import Path
+
+    from terrapath.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "i j k l m n")]
+    docs = documents(spark, rows)
+    left = near_copies.one_of_each(docs)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+    names = [p.name for p in set(folder.iterdir()) - before]
+    assert [n.split("-")[0] for n in names if not n.startswith("rdd")] == ["table"]
