@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -167,7 +168,7 @@ def _flat(words_of: list[list[str]], table: WordRows) -> tuple[np.ndarray, np.nd
 
 
 def train(rows: list[tuple[str, int]], settings: Settings = Settings()) -> dict:
-    """Fit the network on (text, label) rows, on the driver; the rows are a bounded sample.
+    """Fit the network on (text, label) rows, in one process; the rows are a bounded sample.
 
     A text's logit is that of its strongest window, so only that window of each text is
     learned from (multiple instances).  Embeddings start with the log-odds of their feature.
@@ -311,12 +312,7 @@ def score_texts(model: dict, texts: list[str | None], settings: Settings, table:
     return 1 / (1 + np.exp(-np.clip(slope * np.clip(top, -20, 20) + shift, -30, 30).astype(np.float64)))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str, int]]:
-    """Texts and labels to learn from: a hash of the key picks ``sample`` rows of label 1 and twice as many of label 0.
-
-    Labels are picked before they meet the texts, so the join moves no text.  Of several labels of
-    one key the largest counts; labels other than 0 and 1, and null texts, are left out.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, key: str, text: str, label: str) -> DataFrame:
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
     sizes = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     chance = F.lit(0.0)
@@ -324,7 +320,30 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings = Set
         chance = F.when(F.col("_label") == value, F.lit(min(1.0, (2 - value) * settings.sample / n))).otherwise(chance)
     taken = known.where(hash60(F.lit(settings.seed), F.col(key)) < chance * F.lit(float(1 << 60)))
     found = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(taken), key)
-    return sorted((r[0], int(r[1])) for r in found.select(text, "_label").collect())
+    return found.select(F.col(text).alias("text"), F.col("_label").cast("int").alias("label"))
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str, int]]:
+    """Texts and labels to learn from: a hash of the key picks ``sample`` rows of label 1 and twice as many of label 0.
+
+    Labels are picked before they meet the texts, so the join moves no text.  Of several labels of
+    one key the largest counts; labels other than 0 and 1, and null texts, are left out.
+    """
+    return sorted((r[0], r[1]) for r in _sample(docs, labels, settings, key, text, label).collect())
+
+
+def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
+    """The network of ``train`` on the rows of ``sample_labelled``, trained in a task: the driver sees the finished weights only."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sorted(rows), settings))], pa.binary())], names=["model"])
+
+    made = _sample(docs, labels, settings, key, text, label).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else train([], settings)
 
 
 def score(docs: DataFrame, model: dict, settings: Settings = Settings(), text: str = "text") -> DataFrame:
