@@ -1,8 +1,11 @@
-"""Search grids: the nearest nodes are found without shuffling any node."""
+"""Search grids: nodes are not shuffled, and planning searches the whole grid."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrapath.functions import gridpath
+from terrapath.functions.tracing import haversine
 from terrapath.operators import route as R
 from terrapath.sources import dem as D
 
@@ -36,3 +39,23 @@ def test_no_node_is_shuffled(requests, spark):
     r = spark.createDataFrame(requests.toPandas())
     plan = R.nearest_grid_nodes(r)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" in plan
+
+
+def test_far_targets_are_reached(spark, cells):
+    """The square of these requests has more than 100 nodes a side, and its far corner may lie due south."""
+    lat = 47.0 - 63.9 * META.dy
+    spots = [(1, 10.03, 46.985, 10.031, 46.972), (2, 10.03, 46.985, 10.031, 46.977), (3, 10.04, lat, 10.04 + 0.0072, lat - 0.0074), (4, 10.04, lat, 10.04 - 0.0072, lat - 0.0074)]
+    r = spark.createDataFrame(spots, "request_id long, lon double, lat double, target_lon double, target_lat double")
+    paths = R.manual_paths(r, cells, META).collect()
+    assert {p.request_id for p in paths} == {1, 2, 3, 4} and not any("fallback" in p.sector_name for p in paths)
+    for p in paths:
+        _, _, _, lon, lat = spots[p.request_id - 1]
+        assert haversine(p.points[-1].lon, p.points[-1].lat, lon, lat) < 25
+
+
+def test_grades_of_a_large_grid_are_relaxed_apart(monkeypatch):
+    lons, lats = gridpath.search_grid(10.0, 46.5, 10.0, 46.4985, 167.0)
+    z = 2000.0 + (lats - 46.5) * 30000 + 40 * np.sin(1e4 * lons)
+    want = gridpath.least_cost(lons, lats, z, (2, 3), (18, 7), (7.0, 22.0, 60.0))
+    monkeypatch.setattr(gridpath, "SWEPT_NODES", 2 * lons.size)
+    assert gridpath.least_cost(lons, lats, z, (2, 3), (18, 7), (7.0, 22.0, 60.0)) == want and all(want)
